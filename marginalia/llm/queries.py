@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import exact_dedup, mixing, packing, token_counts, token_files
+from marginalia.llm import exact_dedup, mixing, packing, token_counts, token_files, warc
 from marginalia.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_index(read(spark, sf_dir, "pages"), min_revisit_bytes=0)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -37,7 +41,7 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_token_counts, op3_exact_dedup, op7_token_files, op9_best_fit_packing, op10_temperature_mixing]
+    found = [op1_warc_index, op2_token_counts, op3_exact_dedup, op7_token_files, op9_best_fit_packing, op10_temperature_mixing]
     return {f.__name__: f for f in found}
 
 
