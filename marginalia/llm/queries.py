@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import exact_dedup, mixing, packing, token_counts, token_files, warc
+from marginalia.llm import exact_dedup, line_crf, mixing, packing, token_counts, token_files, warc
 from marginalia.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op8_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return line_crf.scores(docs, line_crf.fit_on(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
@@ -41,7 +46,7 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_warc_index, op2_token_counts, op3_exact_dedup, op7_token_files, op9_best_fit_packing, op10_temperature_mixing]
+    found = [op1_warc_index, op2_token_counts, op3_exact_dedup, op7_token_files, op8_line_crf_quality, op9_best_fit_packing, op10_temperature_mixing]
     return {f.__name__: f for f in found}
 
 
