@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import exact_dedup, line_crf, mixing, packing, token_counts, token_files, warc
+from marginalia.llm import exact_dedup, jaccard_join, line_crf, mixing, packing, token_counts, token_files, warc
 from marginalia.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -46,7 +50,7 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_warc_index, op2_token_counts, op3_exact_dedup, op7_token_files, op8_line_crf_quality, op9_best_fit_packing, op10_temperature_mixing]
+    found = [op1_warc_index, op2_token_counts, op3_exact_dedup, op4_jaccard_join, op7_token_files, op8_line_crf_quality, op9_best_fit_packing, op10_temperature_mixing]
     return {f.__name__: f for f in found}
 
 
