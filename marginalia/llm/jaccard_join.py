@@ -34,9 +34,10 @@ from marginalia.llm.shared import Scratch
 
 WORDS = 5
 PERCENT = 80
-FREQUENT = 32
+FREQUENT = 8
 FREQUENT_ENTRIES = 1 << 20
 BUCKET_ENTRIES = 500_000
+FILTER_BITS = 1 << 23
 UNIT_SETS = 192
 PIVOT_ROUNDS = 4
 
@@ -206,7 +207,7 @@ def _frequent(rows: DataFrame, tmp: Scratch, words: int) -> tuple[np.ndarray, np
 
         def flush() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= 4
+            often = times >= 3
             return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["h", "c"])
 
         for batch in batches:
@@ -304,53 +305,75 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chains = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
     clusters = tmp.save(components(chains, tmp, "chains"), "clusters")
 
-    first = described.filter("n > 0").groupBy("name").agg(F.min(F.struct("id", "same")).alias("first"))
-    wanted = tmp.save(first.join(clusters, F.col("name") == F.col("node")).select("first.id", "first.same", "name", "root"), "wanted")
-    texts = rows.join(wanted.select(F.col("id").alias("_id"), F.col("same").alias("_same"), "name", "root"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("same") == F.col("_same")))
+    names = tmp.save(described.select("id", "same", "n", "name"), "names")
+    tmp.drop("described", "frequent")
+    first = names.filter("n > 0").groupBy("name").agg(F.min(F.struct("id", "same")).alias("first"))
+    sizes = tmp.save(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("pivot")), "cluster-sizes")
+    wanted = first.join(clusters.join(sizes, "root"), F.col("name") == F.col("node"))
+    wanted = tmp.save(wanted.select("first.id", "first.same", "name", "root", "sets", "pivot"), "wanted")
+    asked = _maybe(rows, wanted).join(wanted.withColumnsRenamed({"id": "_id", "same": "_same"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("same") == F.col("_same")))
+    columns = ["root", "name", "sets", "pivot", "text"]
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, n in tokens.bounded(batch.column(2)):
-                sets = sets_of(batch.column(2), start, n)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, n) for k in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "name", "elements"])
+            for start, n in tokens.bounded(batch.column(4)):
+                sets = sets_of(batch.column(4), start, n)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, n) for k in range(4)), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*columns[:4], "elements"])
 
-    members = texts.select("root", "name", "text").mapInArrow(collect, "root long, name long, elements binary")
-    pool = tmp.save(members, "members")
-    links = _links(pool, tmp, percent)
+    members = tmp.save(asked.select(*columns).mapInArrow(collect, "root long, name long, sets long, pivot long, elements binary"), "members")
+    links = _links(members, tmp, percent)
     reached = tmp.save(components(links, tmp, "links"), "reached")
 
-    grouped = described.join(reached, F.col("name") == F.col("node"), "left").select("id", "n", F.coalesce("root", "name").alias("name"))
+    grouped = names.join(reached, F.col("name") == F.col("node"), "left").select("id", "n", F.coalesce("root", "name").alias("name"))
     grouped = tmp.save(grouped, "grouped")
     least = tmp.save(grouped.filter("n > 0").groupBy("name").agg(F.min("id").alias("component_id")), "least")
     out = grouped.join(least, "name", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-    tmp.drop("frequent", "described", "members", "wanted", "clusters")
+    tmp.drop("members", "wanted", "clusters", "cluster-sizes", "names")
     return out
 
 
-def _links(pool: DataFrame, tmp: Scratch, percent: int) -> DataFrame:
-    """Links that connect each cluster's sets (root, name, elements) as all its links would."""
+def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose text's hash may be a wanted one: a bitmap of at most FILTER_BITS spares the others the shuffle."""
+    bits = min(FILTER_BITS, 1 << max(10, int(np.ceil(np.log2(16 * max(1, wanted.count()))))))
+    place = F.pmod(F.col("same"), F.lit(bits))
+    words = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(same, {bits}) % 64 as int))")).alias("set")).toArrow()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[np.asarray(words["word"], dtype=np.int64)] = np.asarray(words["set"], dtype=np.int64)
+    held = rows.sparkSession.sparkContext.broadcast(bitmap)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.asarray(batch.column("same")) % bits
+            yield batch.filter(pa.array(held.value[at >> 6] >> (at & 63) & 1 == 1))
+
+    return rows.mapInArrow(keep, schema)
+
+
+def _links(members: DataFrame, tmp: Scratch, percent: int) -> DataFrame:
+    """Links that connect each cluster's sets (root, name, sets, pivot, elements) as all its links would."""
     found: list[DataFrame] = []
-    pool = pool.dropDuplicates(["root", "name"])
-    whole = tmp.save(pool, "pool-0")
+    whole = members
     for k in range(PIVOT_ROUNDS + 1):
-        sizes = tmp.save(whole.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.min("name").alias("pivot")).filter("sets > 1"), f"sizes-{k}")
         last = k == PIVOT_ROUNDS
-        small = sizes if last else sizes.filter(F.col("sets") <= UNIT_SETS)
-        blocks = F.greatest(F.lit(1), F.ceil(F.col("sets") * 2 / F.lit(UNIT_SETS))).cast("int")
-        blocks = F.when(F.col("sets") <= UNIT_SETS, F.lit(1)).otherwise(blocks)
-        mine = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
-        units = whole.join(small.select("root", blocks.alias("blocks")), "root").withColumn("mine", mine)
+        if k:
+            sizes = tmp.save(whole.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.min("name").alias("pivot")), f"sizes-{k}")
+            whole = whole.join(sizes, "root")
+        small = F.col("sets") <= UNIT_SETS
+        units = whole.filter(F.col("sets") > 1 if last else (F.col("sets") > 1) & small)
+        blocks = F.when(small, 1).otherwise(F.ceil(F.col("sets") * 2 / F.lit(UNIT_SETS))).cast("int")
+        units = units.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
         units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         units = units.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "name", "elements")
         found.append(tmp.save(_in_units(units, percent), f"unit-links-{k}"))
         if last:
             break
-        large = sizes.filter(F.col("sets") > UNIT_SETS)
+        large = whole.filter(~small)
         if large.isEmpty():
             break
-        pivots = large.join(whole.withColumnRenamed("name", "pivot"), ["root", "pivot"]).select("root", "pivot", F.col("elements").alias("center"))
+        pivots = large.filter(F.col("name") == F.col("pivot")).dropDuplicates(["root"]).select("root", F.col("elements").alias("center"))
         pivots = tmp.save(pivots, f"pivots-{k}")
-        measured = tmp.save(_measured(whole.join(pivots, "root"), percent), f"measured-{k}")
+        measured = tmp.save(_measured(large.select("root", "name", "elements", "pivot").join(pivots, "root"), percent), f"measured-{k}")
         found.append(measured.filter("link AND name <> pivot").select(F.col("name").alias("a"), F.col("pivot").alias("b")))
         # what isn't linked with the pivot can link with something linked with it only within twice the distance
         reach = 2 * (1 - percent / 100) + 1e-9

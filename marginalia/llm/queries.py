@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import exact_dedup, jaccard_join, line_crf, mixing, nn_descent, packing, token_counts, token_files, warc
+from marginalia.llm import exact_dedup, jaccard_join, line_crf, mixing, nn_descent, packing, pii, token_counts, token_files, warc
 from marginalia.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op5_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(read(spark, sf_dir, "documents"))
+
+
 def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -54,7 +58,7 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_warc_index, op2_token_counts, op3_exact_dedup, op4_jaccard_join, op6_nn_descent, op7_token_files, op8_line_crf_quality, op9_best_fit_packing, op10_temperature_mixing]
+    found = [op1_warc_index, op2_token_counts, op3_exact_dedup, op4_jaccard_join, op5_bootstrapped_pii, op6_nn_descent, op7_token_files, op8_line_crf_quality, op9_best_fit_packing, op10_temperature_mixing]
     return {f.__name__: f for f in found}
 
 
