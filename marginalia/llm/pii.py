@@ -179,8 +179,12 @@ def _written(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s.kind), s.start.cast("string"), s.end.cast("string"))), ",")
 
 
+def _number_of(kind: int):
+    return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long")
+
+
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``find_pii`` as counts of base spans by kind, their digest, and all spans as text."""
     found = find_pii(docs, id_col, text_col)
-    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [_number_of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(id_col, *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
