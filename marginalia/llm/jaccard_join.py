@@ -2,8 +2,10 @@
 
 A document's set is its distinct word shingles as 64-bit hashes, in one global order: rare ones first, those that Spark
 counts as frequent last. Two sets with a Jaccard similarity of the threshold share one of their first elements (as many as
-the threshold leaves room for), so each set goes to the buckets of those only, as two numbers an element. Sets that meet in a
-bucket and have compatible sizes are chained; connected chains are clusters, and every link is inside one cluster.
+the threshold leaves room for), so each set goes to the buckets of those only, as two numbers an element. Where at most
+``PAIRED`` sets meet at an element, their pairs are candidates; a parity bitmap of each set bounds from below by how much
+two sets differ, and candidates that differ by too much go. Where more sets meet, those of compatible sizes are chained.
+Connected candidates are clusters, and every link is inside one cluster.
 The whole sets of a cluster are then stored in a trie. A set walks it once: sets that begin alike share the overlap
 counted so far, and a subtree is left as soon as what remains of either side can't make up the overlap that is missing.
 
@@ -37,6 +39,8 @@ PERCENT = 80
 FREQUENT = 8
 FREQUENT_ENTRIES = 1 << 20
 BUCKET_ENTRIES = 500_000
+PAIRED = 16
+SKETCH_BITS = 1 << 15
 FILTER_BITS = 1 << 23
 UNIT_SETS = 192
 PIVOT_ROUNDS = 4
@@ -107,6 +111,22 @@ def linked(shared: int, a: int, b: int, percent: int) -> bool:
     return 100 * shared >= percent * (a + b - shared)
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """A bit for each of so many classes of elements (about as many as the set has): whether the set has an odd number of them."""
+    bits = min(SKETCH_BITS, 1 << max(6, (len(x) - 1).bit_length()))
+    return np.packbits((np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(a: bytes, b: bytes, n: int, m: int, percent: int) -> bool:
+    """False only if sets of n and m elements with these sketches differ in too many elements to link."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):  # a class of the coarser sketch is the sum of two
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= n + m - 2 * -(-percent * (n + m) // (100 + percent))
+
+
 class _Node:
     __slots__ = ("children", "ends", "high", "low", "segment")
 
@@ -228,6 +248,18 @@ def _frequent(rows: DataFrame, tmp: Scratch, words: int) -> tuple[np.ndarray, np
     return found[order], np.minimum(np.log2(np.maximum(often[order], 1)).astype(np.uint64), np.uint64(63))
 
 
+def _met(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries whose key others have too, each once, by key, size and name."""
+    at = np.argsort(keys, kind="stable")
+    k = keys[at]
+    same = np.concatenate([[False], k[1:] == k[:-1]]) if len(k) else np.zeros(0, bool)
+    at = at[same | np.concatenate([same[1:], [False]])] if len(k) else at
+    at = at[np.lexsort((names[at], sizes[at], keys[at]))]
+    keys, names, sizes = keys[at], names[at], sizes[at]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])]) if len(keys) else np.zeros(0, bool)
+    return keys[new], names[new], sizes[new]
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[list, list[tuple]]]:
     rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
     for key, own in groupby(rows, key=lambda r: r[:by]):
@@ -257,18 +289,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for start, n in tokens.bounded(batch.column(1)):
                 sets = sets_of(batch.column(1), start, n)
                 names = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
-                prefixes = []
+                prefixes, sketches = [], []
                 for name, s in zip(names, sets, strict=True):
                     new = name not in seen and len(s) > 0
                     prefixes.append(s[: prefix_length(len(s), percent)].tobytes() if new else None)
+                    sketches.append(sketch(s) if new else None)
                     if len(seen) < 2_000_000:  # repetitions beyond cost a little work, no more
                         seen.add(name)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, n), batch.column(2).slice(start, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(prefixes, pa.binary())],
-                    names=["id", "same", "n", "name", "prefix"],
+                    [batch.column(0).slice(start, n), batch.column(2).slice(start, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary())],
+                    names=["id", "same", "n", "name", "prefix", "sketch"],
                 )
 
-    described = tmp.save(rows.mapInArrow(describe, f"id {kind}, same long, n long, name long, prefix binary"), "described")
+    described = tmp.save(rows.mapInArrow(describe, f"id {kind}, same long, n long, name long, prefix binary, sketch binary"), "described")
     entries = (described.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 8
     bits = max(8, int(np.ceil(np.log2(max(1, entries / BUCKET_ENTRIES)))))
 
@@ -277,7 +310,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             lengths = np.asarray(pc.binary_length(batch.column(2)), dtype=np.int64) // 8
             keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64)
             names, sizes = np.repeat(np.asarray(batch.column(0)), lengths), np.repeat(np.asarray(batch.column(1)), lengths)
-            bucket = _mixed(keys) >> np.uint64(64 - bits)
+            mixed = _mixed(keys)
+            bucket = mixed >> np.uint64(64 - bits)
+            keys = (mixed << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)  # elements that this makes equal are more candidates, no more
             at = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[at])) + 1
             own = [at[a:b] for a, b in zip(np.concatenate([[0], cuts]).tolist(), [*cuts.tolist(), len(at)], strict=True) if b > a]
@@ -290,23 +325,38 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in _grouped(batches, 1):
-            keys, names, sizes = (np.frombuffer(b"".join(r[k] for r in own), dtype=d) for k, d in ((1, np.uint64), (2, np.int64), (3, np.int32)))
-            at = np.argsort(keys, kind="stable")
-            k = keys[at]
-            same = np.concatenate([[False], k[1:] == k[:-1]])
-            at = at[same | np.concatenate([same[1:], [False]])]
-            at = at[np.lexsort((names[at], sizes[at], keys[at]))]
-            a, b = at[:-1], at[1:]
-            chained = (keys[a] == keys[b]) & (names[a] != names[b]) & (100 * sizes[a].astype(np.int64) >= percent * sizes[b].astype(np.int64))
-            edges = np.unique(np.stack([names[a[chained]], names[b[chained]]], axis=1), axis=0)
+            keys, names, sizes = (np.frombuffer(b"".join(r[k] for r in own), dtype=d) for k, d in ((1, np.uint32), (2, np.int64), (3, np.int32)))
+            keys, names, sizes = _met(keys, names, sizes)
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            met = np.repeat(np.diff(np.append(first, len(keys))), np.diff(np.append(first, len(keys))))
+            found = []
+            for step in range(1, PAIRED):
+                a, b = np.arange(len(keys) - step), np.arange(step, len(keys)) if len(keys) > step else np.zeros(0, np.int64)
+                a = a[: len(b)]
+                chain = met[a] > PAIRED
+                good = (keys[a] == keys[b]) & (100 * sizes[a].astype(np.int64) >= percent * sizes[b].astype(np.int64)) & (~chain | (step == 1))
+                found.append(np.stack([np.minimum(names[a], names[b])[good], np.maximum(names[a], names[b])[good], chain[good].astype(np.int64)], axis=1))
+            edges = np.unique(np.concatenate(found), axis=0)
             if len(edges):
-                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.array(edges[:, 2] > 0)], names=["a", "b", "chain"])
+
+    candidates = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, chain boolean")
+    candidates = tmp.save(candidates.groupBy("a", "b").agg(F.max("chain").alias("chain")), "candidates")
+    sketches = tmp.save(described.filter("sketch IS NOT NULL").groupBy("name").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+    sides = [sketches.select(F.col("name").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b")]
+    pairs = candidates.filter("NOT chain").join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(k).to_pylist() for k in range(2, 6))
+            good = pa.array([may_link(p, q, i, j, percent) for i, j, p, q in zip(n, m, x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(good)
 
-    chains = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
-    clusters = tmp.save(components(chains, tmp, "chains"), "clusters")
+    near = pairs.mapInArrow(bound, "a long, b long").union(candidates.filter("chain").select("a", "b"))
+    clusters = tmp.save(components(near, tmp, "chains"), "clusters")
 
     names = tmp.save(described.select("id", "same", "n", "name"), "names")
-    tmp.drop("described", "frequent")
+    tmp.drop("described", "frequent", "candidates", "sketches")
     first = names.filter("n > 0").groupBy("name").agg(F.min(F.struct("id", "same")).alias("first"))
     sizes = tmp.save(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("pivot")), "cluster-sizes")
     wanted = first.join(clusters.join(sizes, "root"), F.col("name") == F.col("node"))
@@ -328,7 +378,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     grouped = tmp.save(grouped, "grouped")
     least = tmp.save(grouped.filter("n > 0").groupBy("name").agg(F.min("id").alias("component_id")), "least")
     out = grouped.join(least, "name", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-    tmp.drop("members", "wanted", "clusters", "cluster-sizes", "names")
+    tmp.drop("wanted", "clusters", "cluster-sizes", "names")
     return out
 
 
@@ -374,7 +424,7 @@ def _links(members: DataFrame, tmp: Scratch, percent: int) -> DataFrame:
         pivots = large.filter(F.col("name") == F.col("pivot")).dropDuplicates(["root"]).select("root", F.col("elements").alias("center"))
         pivots = tmp.save(pivots, f"pivots-{k}")
         measured = tmp.save(_measured(large.select("root", "name", "elements", "pivot").join(pivots, "root"), percent), f"measured-{k}")
-        found.append(measured.filter("link AND name <> pivot").select(F.col("name").alias("a"), F.col("pivot").alias("b")))
+        found.append(tmp.save(measured.filter("link AND name <> pivot").select(F.col("name").alias("a"), F.col("pivot").alias("b")), f"pivot-links-{k}"))
         # what isn't linked with the pivot can link with something linked with it only within twice the distance
         reach = 2 * (1 - percent / 100) + 1e-9
         between = measured.filter(~F.col("link") & (F.col("distance") <= reach)).groupBy("root").agg(F.min("distance").alias("nearest"))
@@ -384,6 +434,7 @@ def _links(members: DataFrame, tmp: Scratch, percent: int) -> DataFrame:
         # of those on this side, the links among the linked are known; the pivot's own component holds them together
         side = side.select(F.xxhash64("root", F.lit(1)).alias("root"), "name", "elements")
         whole = tmp.save(rest.unionByName(side), f"pool-{k + 1}")
+        tmp.drop(f"measured-{k}", f"pivots-{k}", f"pool-{k}" if k else "members")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

@@ -69,7 +69,7 @@ def test_join_equals_all_pairs(spark):
 def test_large_clusters(spark, monkeypatch, rounds):
     monkeypatch.setattr(jj, "UNIT_SETS", 4)
     monkeypatch.setattr(jj, "PIVOT_ROUNDS", rounds)
-    monkeypatch.setattr(jj, "FREQUENT", 8)
+    monkeypatch.setattr(jj, "PAIRED", 2)
     rows = corpus(2, 12, 40)
     assert run(spark, rows) == brute(rows)
 
@@ -112,3 +112,14 @@ def test_components(spark):
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
     assert got == label
+
+
+def test_sketches_never_part_linked_sets():
+    rnd = random.Random(4)
+    for _ in range(300):
+        x = np.array(rnd.sample(range(1 << 40), rnd.randint(1, 400)), dtype=np.uint64)
+        y = np.array([*rnd.sample(x.tolist(), rnd.randint(len(x) * 3 // 4, len(x))), *rnd.sample(range(1 << 40), rnd.randint(0, len(x) // 4))], dtype=np.uint64)
+        if len(y) and jj.linked(len(np.intersect1d(x, y)), len(x), len(y), 80):
+            assert jj.may_link(jj.sketch(x), jj.sketch(y), len(x), len(y), 80)
+    far = [np.array(rnd.sample(range(1 << 40), 3000), dtype=np.uint64) for _ in range(2)]
+    assert not jj.may_link(*map(jj.sketch, far), 3000, 3000, 80)
