@@ -39,6 +39,7 @@ PERCENT = 80
 FREQUENT = 8
 FREQUENT_ENTRIES = 1 << 20
 BUCKET_ENTRIES = 500_000
+TEXT_BYTES = 1_500_000
 PAIRED = 16
 SKETCH_BITS = 1 << 15
 FILTER_BITS = 1 << 23
@@ -231,11 +232,11 @@ def _frequent(rows: DataFrame, tmp: Scratch, words: int) -> tuple[np.ndarray, np
             return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["h", "c"])
 
         for batch in batches:
-            for start, n in tokens.bounded(batch.column(0)):
+            for start, n in tokens.bounded(batch.column(0), TEXT_BYTES):
                 own = shingle_sets(pc.fill_null(batch.column(0).slice(start, n), "").to_pylist(), words)
                 held += own
                 size += sum(map(len, own))
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -286,7 +287,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for start, n in tokens.bounded(batch.column(1)):
+            for start, n in tokens.bounded(batch.column(1), TEXT_BYTES):
                 sets = sets_of(batch.column(1), start, n)
                 names = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
                 prefixes, sketches = [], []
@@ -294,7 +295,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     new = name not in seen and len(s) > 0
                     prefixes.append(s[: prefix_length(len(s), percent)].tobytes() if new else None)
                     sketches.append(sketch(s) if new else None)
-                    if len(seen) < 2_000_000:  # repetitions beyond cost a little work, no more
+                    if len(seen) < 500_000:  # repetitions beyond cost a little work, no more
                         seen.add(name)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, n), batch.column(2).slice(start, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary())],
@@ -366,7 +367,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, n in tokens.bounded(batch.column(4)):
+            for start, n in tokens.bounded(batch.column(4), TEXT_BYTES):
                 sets = sets_of(batch.column(4), start, n)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, n) for k in range(4)), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*columns[:4], "elements"])
 
