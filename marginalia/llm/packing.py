@@ -36,7 +36,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer_path)
         for batch in batches:
-            for at, n in tokens.bounded(batch.column(1), 16_000_000):
+            for at, n in tokens.bounded(batch.column(1)):
                 found, bounds = encoder.encode(batch.column(1).slice(at, n))
                 raw = memoryview(np.insert(found, bounds[1:], end_id).astype("<u4")).cast("B")
                 sizes = np.diff(bounds) + 1

@@ -106,7 +106,7 @@ def token_counts(
             texts = pc.fill_null(batch.column(1), "")
             sizes = np.asarray(pc.binary_length(texts), dtype=np.int64)
             counts = np.zeros(len(texts), dtype=np.int64)
-            for start, n in tokens.bounded(texts):
+            for start, n in tokens.bounded(texts, 2_000_000):
                 part = texts.slice(start, n).to_pylist()
                 small = [i for i in range(n) if sizes[start + i] <= chunk_bytes]
                 for i, ids in zip(small, own.model.encode([part[i] for i in small], num_threads=1), strict=True):

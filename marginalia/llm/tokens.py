@@ -15,7 +15,7 @@ _MARK = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe, which contr
 _DOUBTFUL = r"<\||[\x01\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 _RUN = r"[ \t\n\r][ \t\n\r]"
 #: The memo is emptied when it has so many segments; longer ones aren't kept. So its memory is bounded.
-MEMO_SEGMENTS = 800_000
+MEMO_SEGMENTS = 600_000
 MEMO_CHARS = 64
 
 
@@ -105,7 +105,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def bounded(texts: pa.Array, chars: int = 8_000_000):
+def bounded(texts: pa.Array, chars: int = 5_000_000):
     """Slices of (start, length) with about so many bytes of text at most, or one text."""
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
     start = 0
