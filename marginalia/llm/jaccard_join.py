@@ -13,7 +13,10 @@ Equal sets are one node throughout. Clusters beyond ``UNIT_SETS`` are first spli
 are one component; of the others, only those within twice the distance can link with one of them, and by the triangle
 inequality only with those that are far enough from the pivot. What no pivot splits is compared block by block.
 
-At scale: texts are read twice and shuffled only for sets in clusters; shuffles carry numbers. A frequent passage
+The order is made in two steps: elements that tasks see often, then those at which many prefixes of that order meet.
+A merely common phrase so leaves the prefixes, and what still meets in numbers are groups of copies.
+
+At scale: texts are read three times and shuffled only for sets in clusters; shuffles carry numbers. A frequent passage
 comes last in the order, so it fills no bucket. No step gathers a group of unbounded size, none emits the pairs of a
 group, and the list of frequent elements is bounded (it only decides the order, so results don't depend on it).
 """
@@ -97,9 +100,8 @@ def ordered(found: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The set in the global order: hashes as 63-bit numbers, frequent ones after all others, by how frequent they are."""
     key = found >> np.uint64(1)
     if len(hot) and len(found):
-        at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
-        is_hot = hot[at] == found
-        key = np.where(is_hot, _HOT | (rank[at] << np.uint64(57)) | (found >> np.uint64(7)), key)
+        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        key = np.where(hot[at] == key, _HOT | (rank[at] << np.uint64(57)) | (key >> np.uint64(6)), key)
     return np.sort(key)
 
 
@@ -227,7 +229,7 @@ def _frequent(rows: DataFrame, tmp: Scratch, words: int) -> tuple[np.ndarray, np
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            found, times = np.unique(np.concatenate(held), return_counts=True)
+            found, times = np.unique(np.concatenate(held) >> np.uint64(1), return_counts=True)
             often = times >= 3
             return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["h", "c"])
 
@@ -243,10 +245,46 @@ def _frequent(rows: DataFrame, tmp: Scratch, words: int) -> tuple[np.ndarray, np
             yield flush()
 
     counts = rows.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= FREQUENT)
-    top = tmp.save(counts, "frequent").orderBy(F.desc("c"), "h").limit(FREQUENT_ENTRIES).toArrow()
-    found, often = np.asarray(top["h"], dtype=np.int64).view(np.uint64), np.asarray(top["c"], dtype=np.int64)
-    order = np.argsort(found)
-    return found[order], np.minimum(np.log2(np.maximum(often[order], 1)).astype(np.uint64), np.uint64(63))
+    return _ranked([tmp.save(counts, "frequent")])
+
+
+def _ranked(counts: list[DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+    """Elements (63-bit) in order, and how frequent they are as a power of two; of each table FREQUENT_ENTRIES at most."""
+    tops = [c.orderBy(F.desc("c"), "h").limit(FREQUENT_ENTRIES).toArrow() for c in counts]
+    found = np.concatenate([np.asarray(t["h"], dtype=np.int64).view(np.uint64) for t in tops])
+    often = np.concatenate([np.asarray(t["c"], dtype=np.int64) for t in tops])
+    at = np.lexsort((-often, found))
+    found, often = found[at], often[at]
+    first = np.concatenate([[True], found[1:] != found[:-1]]) if len(found) else np.zeros(0, bool)
+    return found[first], np.minimum(np.log2(np.maximum(often[first], 1)).astype(np.uint64), np.uint64(63))
+
+
+def _crowded(rows: DataFrame, tmp: Scratch, words: int, percent: int, order) -> DataFrame:
+    """h, c: the elements not yet known as frequent at which more than PAIRED prefixes meet, and how many do."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(8, int(np.ceil(np.log2(max(1, size / 30 / BUCKET_ENTRIES)))))  # about a prefix element for 30 bytes
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, n in tokens.bounded(batch.column(0), TEXT_BYTES):
+                sets = [ordered(x, *order.value) for x in shingle_sets(pc.fill_null(batch.column(0).slice(start, n), "").to_pylist(), words)]
+                keys = np.concatenate([x[: prefix_length(len(x), percent)] for x in sets])
+                keys = keys[keys < _HOT]
+                bucket = _mixed(keys) >> np.uint64(64 - bits)
+                keys = keys[np.argsort(bucket, kind="stable")]
+                found, times = np.unique(bucket, return_counts=True)
+                ends = np.cumsum(times)
+                raw = [keys[e - t : e].tobytes() for e, t in zip(ends.tolist(), times.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(raw, pa.binary())], names=["bucket", "keys"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in _grouped(batches, 1):
+            found, times = np.unique(np.frombuffer(b"".join(r[1] for r in own), np.uint64), return_counts=True)
+            many = times > PAIRED
+            yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(times[many].astype(np.int64))], names=["h", "c"])
+
+    dealt = rows.select("text").mapInArrow(deal, "bucket long, keys binary")
+    return tmp.save(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "h long, c long"), "crowded")
 
 
 def _met(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,8 +316,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark, tmp = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("same"))
-    hot, rank = _frequent(rows, tmp, words)
-    order = spark.sparkContext.broadcast((hot, rank))  # FREQUENT_ENTRIES at most
+    known = spark.sparkContext.broadcast(_frequent(rows, tmp, words))  # FREQUENT_ENTRIES at most
+    crowded = _crowded(rows, tmp, words, percent, known)
+    order = spark.sparkContext.broadcast(_ranked([spark.read.parquet(tmp.folder("frequent")), crowded]))  # twice as many at most
 
     def sets_of(column: pa.Array, start: int, n: int) -> list[np.ndarray]:
         return [ordered(s, *order.value) for s in shingle_sets(pc.fill_null(column.slice(start, n), "").to_pylist(), words)]
@@ -357,7 +396,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     clusters = tmp.save(components(near, tmp, "chains"), "clusters")
 
     names = tmp.save(described.select("id", "same", "n", "name"), "names")
-    tmp.drop("described", "frequent", "candidates", "sketches")
+    tmp.drop("described", "frequent", "crowded", "candidates", "sketches")
     first = names.filter("n > 0").groupBy("name").agg(F.min(F.struct("id", "same")).alias("first"))
     sizes = tmp.save(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("pivot")), "cluster-sizes")
     wanted = first.join(clusters.join(sizes, "root"), F.col("name") == F.col("node"))
