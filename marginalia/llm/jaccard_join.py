@@ -42,7 +42,7 @@ PERCENT = 80
 FREQUENT = 8
 FREQUENT_ENTRIES = 1 << 20
 BUCKET_ENTRIES = 500_000
-TEXT_BYTES = 1_500_000
+TEXT_BYTES = 500_000
 PAIRED = 16
 SKETCH_BITS = 1 << 15
 FILTER_BITS = 1 << 23
