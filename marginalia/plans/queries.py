@@ -371,8 +371,8 @@ def keyword_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH d AS (SELECT doc_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS t,
-    list_distinct(list_filter(string_split(trim(regexp_replace(lower(split_part(text, chr(10), 2)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS u FROM documents WHERE lang = 'en')
+    WITH d AS (SELECT doc_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(strip_accents(split_part(text, chr(10), 1))), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS t,
+    list_distinct(list_filter(string_split(trim(regexp_replace(lower(strip_accents(split_part(text, chr(10), 2))), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS u FROM documents WHERE lang = 'en')
     SELECT doc_id, CASE WHEN least(len(t), len(u)) > 0 THEN round(len(list_intersect(t, u)) / least(len(t), len(u)), 6) ELSE 0.0 END AS shared FROM d""")
 def token_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Words that a document's first two lines share."""
