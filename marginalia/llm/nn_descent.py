@@ -1,18 +1,21 @@
 """Embedding near-dedup by NN-descent.
 
-Vectors are first gathered in balls: within a bucket of random hyperplanes, a vector joins a ball if its angle to the
+Equal unit vectors are one point with a number of copies. Points are then gathered in balls: within a bucket of random hyperplanes, a vector joins a ball if its angle to the
 centre is at most half the angle of the threshold. By the triangle inequality on angles all of a ball are linked with each
 other, so a group of thousands of copies is one centre and a count. NN-descent then refines a neighbour graph of the
 centres: from the lists of several hyperplane partitions, each centre brings its neighbours and a bounded part of its
 reverse neighbours together, and pairs among them improve the lists of both. A list whose every entry is near enough to
-matter is saturated, and is doubled. Rounds end when few lists change.
+matter is saturated, and is doubled up to ``LONGEST`` times its first length. Rounds end when few lists change. What is
+saturated then takes no part in the lists: the points of such balls are compared with all points, block by block, which
+counts their links and passes on only as many pairs as connect the same balls.
 
 Two balls that are neighbours are resolved exactly: by their radii where these decide, then by each member's angle to the
 other centre, and member by member for what is left. So every link that is reported holds. The audit compares the links of a
 bounded set of query vectors with brute force over all vectors; below the wanted recall, lists are doubled and refined again.
 
 At scale: no bucket exceeds ``BUCKET`` rows (larger ones are split by hash), lists are bounded by their length, joins are
-on ids of written tables. The audit scans all vectors once against ``AUDIT`` queries.
+on ids of written tables. A block of ``BLOCK`` points of saturated balls takes one scan of all points; a group that no list
+holds costs its size times the table's in products, but no row per pair. The audit scans all vectors once against ``AUDIT`` queries.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.components import components
@@ -39,6 +42,8 @@ BEST = 3
 RECALL = 0.95
 AUDIT = 256
 CHUNK = 256
+BLOCK = 4096
+LONGEST = 8
 _SAFE = 1e-7
 
 
@@ -145,7 +150,7 @@ def _best_pairs(u: np.ndarray, x: np.ndarray, r: np.ndarray, theta: float, best:
     return list(zip(u[a].tolist(), u[b].tolist(), cosine[a, b].tolist(), near[a, b].tolist(), strict=True))
 
 
-def _initial(centres: DataFrame, bits: int, theta: float, k: int, tmp: Scratch) -> DataFrame:
+def _initial(centres: DataFrame, bits: int, theta: float, k: int, tmp: Scratch, name: str) -> DataFrame:
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in _by_key(batches, 3):
             rows = _best_pairs(np.array([r[3] for r in own]), _vectors([r[4] for r in own]), np.array([r[5] for r in own]), theta, k)
@@ -154,7 +159,7 @@ def _initial(centres: DataFrame, bits: int, theta: float, k: int, tmp: Scratch)
 
     edges = None
     for tree in range(1, TREES + 1):
-        part = _bucketed(centres.select("u", "v", "dim", "r"), tree, bits, tmp, f"tree-{tree}").select("dim", "code", "part", "u", "v", "r")
+        part = _bucketed(centres.select("u", "v", "dim", "r"), tree, bits, tmp, f"{name}-tree-{tree}").select("dim", "code", "part", "u", "v", "r")
         found = part.repartition("dim", "code", "part").sortWithinPartitions("dim", "code", "part", "u").mapInArrow(inside, _EDGE)
         edges = found if edges is None else edges.union(found)
     return edges
@@ -162,12 +167,17 @@ def _initial(centres: DataFrame, bits: int, theta: float, k: int, tmp: Scratch)
 
 def _lists(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """Per centre its best k edges: u, k, list."""
-    entry = F.struct(F.col("cosine"), F.col("w"), F.col("near"))
+    # those that are near enough to matter come first, so that a list that lacks one is full of them
+    entry = F.struct(F.col("near"), F.col("cosine"), F.col("w"))
     found = edges.groupBy("u").agg(F.sort_array(F.collect_set(entry), asc=False).alias("list"))
     return found.join(sizes, "u").select("u", "k", F.slice("list", 1, F.col("k")).alias("list"))
 
 
-def _refined(lists: DataFrame, centres: DataFrame, theta: float, tmp: Scratch, name: str) -> DataFrame:
+def _saturated() -> Column:
+    return (F.size("list") >= F.col("k")) & F.forall("list", lambda e: e.near)
+
+
+def _refined(lists: DataFrame, centres: DataFrame, theta: float, longest: int, tmp: Scratch, name: str) -> DataFrame:
     """One round: neighbours of neighbours, then the best of old and new."""
     ahead = lists.select("u", F.explode("list").alias("e")).select("u", "e.w", "e.cosine", "e.near")
     slot = F.pmod(F.xxhash64("u"), F.lit(NEIGHBOURS))
@@ -183,9 +193,7 @@ def _refined(lists: DataFrame, centres: DataFrame, theta: float, tmp: Scratch, n
 
     new = met.repartition("u").sortWithinPartitions("u").mapInArrow(join, _EDGE)
     new = new.groupBy("u", "w").agg(F.max("cosine").alias("cosine"), F.max("near").alias("near"))
-    # a saturated list is doubled
-    full = (F.size("list") >= F.col("k")) & F.forall("list", lambda e: e.near)
-    sizes = lists.select("u", F.when(full, F.col("k") * 2).otherwise(F.col("k")).alias("k"))
+    sizes = lists.select("u", F.when(_saturated() & (F.col("k") < longest), F.col("k") * 2).otherwise(F.col("k")).alias("k"))
     # the same pair's cosine may differ in its last bits between products, so an edge is told by its ends
     edges = ahead.union(new.select("u", "w", "cosine", "near")).groupBy("u", "w").agg(F.max("cosine").alias("cosine"), F.max("near").alias("near"))
     out = tmp.save(_lists(edges, sizes), f"{name}-lists")
@@ -193,13 +201,13 @@ def _refined(lists: DataFrame, centres: DataFrame, theta: float, tmp: Scratch, n
     return out
 
 
-def _graph(centres: DataFrame, bits: int, theta: float, tmp: Scratch, k: int, name: str) -> DataFrame:
+def _graph(centres: DataFrame, bits: int, theta: float, tmp: Scratch, k: int, longest: int, name: str) -> DataFrame:
     start = centres.select("u", F.lit(k).alias("k"))
-    edges = _initial(centres, bits, theta, k, tmp).groupBy("u", "w").agg(F.max("cosine").alias("cosine"), F.max("near").alias("near"))
+    edges = _initial(centres, bits, theta, k, tmp, name).groupBy("u", "w").agg(F.max("cosine").alias("cosine"), F.max("near").alias("near"))
     lists = tmp.save(_lists(edges, start), f"{name}-0-lists")
     size = max(1, lists.count())
     for i in range(1, ROUNDS + 1):
-        after = _refined(lists, centres, theta, tmp, f"{name}-{i}")
+        after = _refined(lists, centres, theta, longest, tmp, f"{name}-{i}")
         old, new = (x.select("u", F.col("k").alias(f"{c}k"), F.transform("list", lambda e: e.w).alias(c)) for x, c in ((lists, "old"), (after, "new")))
         changed = new.join(old, "u", "left").agg(F.sum(F.size(F.array_except("new", F.coalesce("old", F.array().cast("array<long>"))))).alias("n"), F.sum((F.col("newk") > F.col("oldk")).cast("int")).alias("grown")).first()
         lists = after
@@ -237,23 +245,116 @@ def _resolved(pairs: DataFrame, balls: DataFrame, vectors: DataFrame, centres: D
     linked = linked.union(asked.filter("state = 2").select(F.col("i").alias("a"), F.col("j").alias("b")))
 
     open_ = asked.filter("state = 1").select("u", "i", "j").join(vectors.select("u", F.col("v").alias("x")), "u")
-    there = balls.join(open_.select(F.col("j").alias("ball")).distinct(), "ball", "left_semi").join(vectors.select("u", "v"), "u")
+    there = balls.join(open_.select(F.col("j").alias("ball")).distinct(), "ball", "left_semi").join(vectors.select("u", "v", "copies"), "u")
     there = there.withColumn("chunk", F.pmod(F.xxhash64("u"), F.lit(64)))
-    chunks = there.groupBy("ball", "chunk").agg(F.collect_list("v").alias("vs")).withColumnRenamed("ball", "j")
+    chunks = there.groupBy("ball", "chunk").agg(F.collect_list(F.struct("v", "copies")).alias("p")).select("ball", F.col("p.v").alias("vs"), F.col("p.copies").alias("copies")).withColumnRenamed("ball", "j")
 
     def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [int((_vectors(vs) @ np.frombuffer(x, np.float64) >= threshold).sum()) for x, vs in zip(batch.column("x").to_pylist(), batch.column("vs").to_pylist(), strict=True)]
+            own = zip(*(batch.column(c).to_pylist() for c in ("x", "vs", "copies")), strict=True)
+            n = [int((_vectors(vs) @ np.frombuffer(x, np.float64) >= threshold) @ np.array(copies)) for x, vs, copies in own]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("u", "i", "j")), pa.array(n, pa.int64())], names=["u", "i", "j", "n"])
 
-    ones = tmp.save(open_.join(chunks, "j").select("u", "i", "j", "x", "vs").mapInArrow(one_by_one, "u long, i long, j long, n long").filter("n > 0"), f"{name}-ones")
+    ones = tmp.save(open_.join(chunks, "j").select("u", "i", "j", "x", "vs", "copies").mapInArrow(one_by_one, "u long, i long, j long, n long").filter("n > 0"), f"{name}-ones")
     linked = linked.union(ones.select(F.col("i").alias("a"), F.col("j").alias("b")))
     return by_ball.union(by_centre).union(ones.select("u", "n")), linked.distinct()
 
 
-def _audit(found: DataFrame, vectors: DataFrame, threshold: float) -> float:
-    """The share of the links of at most AUDIT query vectors that was found; 1 without links."""
-    queries = vectors.orderBy(F.xxhash64("u"), "u").limit(AUDIT).select("u", "v", "dim").collect()
+def _forest(hit: np.ndarray) -> list[tuple[int, int]]:
+    """Of the hits as many (row, column) as connect what all of them connect."""
+    pairs, rows, columns = [], hit.any(axis=1), hit.any(axis=0)
+    for start in np.flatnonzero(rows).tolist():
+        todo = [start] if rows[start] else []
+        rows[start] = False
+        while todo:
+            i = todo.pop()
+            reached = np.flatnonzero(hit[i] & columns)
+            if len(reached):
+                columns[reached] = False
+                pairs += [(i, j) for j in reached.tolist()]
+                more = np.flatnonzero(rows)
+                inside = hit[np.ix_(more, reached)]
+                at = inside.any(axis=1)
+                more, first = more[at], reached[inside[at].argmax(axis=1)]
+                pairs += zip(more.tolist(), first.tolist(), strict=True)
+                rows[more] = False
+                todo += more.tolist()
+    return pairs
+
+
+def _in_blocks(members: DataFrame, hot: DataFrame, threshold: float, tmp: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """members: u, ball, v, dim, copies; hot: ball. All links beyond the own ball of which an end is in a hot ball, by comparing the
+    points of these with all: their number for each point (u, n), and pairs of balls (a, b) that connect what the links connect."""
+    all_ = tmp.save(members.join(hot.select("ball", F.lit(True).alias("hot")), "ball", "left").select("u", "ball", "v", "dim", "copies", F.coalesce("hot", F.lit(False)).alias("hot")), f"{name}-all")
+    asked = all_.filter("hot")
+    blocks = -(-asked.count() // BLOCK)
+    found = None
+    for k in range(blocks):
+        own = asked.filter(F.pmod(F.xxhash64("u", F.lit(7)), F.lit(blocks)) == k).select("u", "ball", "v", "dim", "copies").collect()
+        part = tmp.save(all_.mapInArrow(_block(own, threshold), "u long, n long, a long, b long"), f"{name}-block-{k}")
+        found = part if found is None else found.union(part)
+    if found is None:
+        found = members.sparkSession.createDataFrame([], "u long, n long, a long, b long")
+    return found.filter("u IS NOT NULL").groupBy("u").agg(F.sum("n").alias("n")), found.filter("a IS NOT NULL").select("a", "b").distinct()
+
+
+def _block(own: list, threshold: float, connect: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    by_dim = {}
+    for d in {q.dim for q in own}:
+        of = [q for q in own if q.dim == d]
+        by_dim[d] = (np.array([q.u for q in of]), np.array([q.ball for q in of]), _vectors([q.v for q in of]), np.array([q.copies for q in of], np.float64))
+    out = _out(["u", "n", "a", "b"], [pa.int64()] * 4)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {d: np.zeros(len(q[0])) for d, q in by_dim.items()}
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while (up := root.get(i, i)) != i:
+                root[i] = root.get(up, up)
+                i = root[i]
+            return i
+
+        for batch in batches:
+            u, balls, dims, copies, hot = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "ball", "dim", "copies", "hot"))
+            vs, counts, links = batch.column("v"), np.zeros(batch.num_rows), []
+            for d, (_, mine, x, weight) in by_dim.items():
+                of = np.flatnonzero(dims == d)
+                for at in np.split(of, range(CHUNK, len(of), CHUNK)):
+                    if not len(at):
+                        continue
+                    there = _vectors([vs[i].as_py() for i in at.tolist()])
+                    for low in range(0, len(mine), CHUNK * 4):
+                        rows = slice(low, low + CHUNK * 4)
+                        hit = x[rows] @ there.T >= threshold
+                        if not hit.any():
+                            continue
+                        hit &= mine[rows, None] != balls[None, at]
+                        number = hit.astype(np.float64)
+                        totals[d][rows] += number @ copies[at]
+                        counts[at] += weight[rows] @ number
+                        if connect:
+                            for i, j in _forest(hit):
+                                a, b = find(int(mine[low + i])), find(int(balls[at[j]]))
+                                if a != b:
+                                    root[max(a, b)] = min(a, b)
+                                    links.append((None, None, int(mine[low + i]), int(balls[at[j]])))
+            # hot points are counted as those that ask
+            cold = np.flatnonzero(~hot & (counts > 0))
+            rows = [(a, b, None, None) for a, b in zip(u[cold].tolist(), counts[cold].astype(np.int64).tolist(), strict=True)] + links
+            if rows:
+                yield out(rows)
+        for d, (asked, *_) in by_dim.items():
+            at = np.flatnonzero(totals[d])
+            if len(at):
+                yield out([(a, b, None, None) for a, b in zip(asked[at].tolist(), totals[d][at].astype(np.int64).tolist(), strict=True)])
+
+    return compare
+
+
+def _audit(found: DataFrame, points: DataFrame, vectors: DataFrame, threshold: float) -> float:
+    """The share of the links of at most AUDIT query points that was found; 1 without links."""
+    queries = points.orderBy(F.xxhash64("u"), "u").limit(AUDIT).select("u", "v", "dim").collect()
     if not queries:
         return 1.0
     by_dim = {d: (np.array([q.u for q in queries if q.dim == d]), _vectors([q.v for q in queries if q.dim == d])) for d in {q.dim for q in queries}}
@@ -283,27 +384,36 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     tmp = Scratch(vectors.sparkSession, "nn-descent")
     rows = _prepared(vectors, id_col, vector_col, tmp)
     usable = rows.filter("v IS NOT NULL").select("u", "v", "dim")
-    count = usable.count()
+    points = tmp.save(usable.groupBy("v", "dim").agg(F.min("u").alias("u"), F.count(F.lit(1)).alias("copies")).select("u", "v", "dim", "copies"), "points")
+    count = points.count()
     bits = max(1, int(np.ceil(np.log2(max(2, count / LEAF)))))
     theta = float(np.arccos(threshold))
-    balls = _balls(usable, bits, theta / 2 - 1e-3, tmp)
-    stats = balls.groupBy("ball").agg(F.max("angle").alias("r"), F.count(F.lit(1)).alias("size")).withColumnRenamed("ball", "u")
-    centres = tmp.save(stats.join(usable, "u"), "centres")
+    balls = _balls(points.select("u", "v", "dim"), bits, theta / 2 - 1e-3, tmp)
+    members = tmp.save(balls.join(points, "u"), "members")
+    stats = members.groupBy("ball").agg(F.max("angle").alias("r"), F.sum("copies").alias("size")).withColumnRenamed("ball", "u")
+    centres = tmp.save(stats.join(points.select("u", "v", "dim"), "u"), "centres")
     k = neighbours
     while True:
-        lists = _graph(centres, bits, theta, tmp, k, f"k{k}")
+        lists = _graph(centres, bits, theta, tmp, k, LONGEST * neighbours, f"k{k}")
+        hot = tmp.save(lists.filter(_saturated()).select(F.col("u").alias("ball")), f"k{k}-hot")
         near = lists.select("u", F.explode("list").alias("e")).filter("e.near").select("u", "e.w", "e.cosine")
         both = near.union(near.select(F.col("w").alias("u"), F.col("u").alias("w"), "cosine")).groupBy(F.col("u").alias("i"), F.col("w").alias("j")).agg(F.max("cosine").alias("cosine"))
-        outside, linked = _resolved(tmp.save(both, f"k{k}-near"), balls, usable, centres, threshold, tmp, f"k{k}")
+        both = both.join(hot.withColumnRenamed("ball", "i"), "i", "left_anti").join(hot.withColumnRenamed("ball", "j"), "j", "left_anti").select("i", "j", "cosine")
+        outside, linked = _resolved(tmp.save(both, f"k{k}-near"), balls, points, centres, threshold, tmp, f"k{k}")
+        more, connected = _in_blocks(members, hot, threshold, tmp, f"k{k}-hot")
+        outside, linked = outside.union(more), linked.union(connected)
         outside = outside.groupBy("u").agg(F.sum("n").alias("n"))
         inside = balls.join(centres.select(F.col("u").alias("ball"), "size"), "ball")
         links = inside.join(outside, "u", "left").select("u", "ball", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"))
         links = tmp.save(links, f"k{k}-links")
-        if k >= 8 * neighbours or _audit(links, usable, threshold) >= RECALL:
+        if k >= 8 * neighbours or _audit(links, points, usable, threshold) >= RECALL:
             break
         k *= 2
     reached = components(tmp.save(linked, f"k{k}-linked"), tmp, "balls-reached")
     placed = links.join(reached, F.col("ball") == F.col("node"), "left").select("u", "n_links", F.coalesce("root", "ball").alias("root"))
+    first = points.filter("copies > 1").select("v", F.col("u").alias("p"))
+    point = usable.join(first, "v", "left").select("u", F.coalesce("p", "u").alias("p"))
+    placed = point.join(placed.withColumnRenamed("u", "p"), "p").select("u", "n_links", "root")
     placed = tmp.save(rows.select("u", "id").join(placed, "u", "left").select("u", "id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "root"), "placed")
     least = tmp.save(placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id")), "least")
     out = placed.join(least, "root", "left").select("id", "n_links", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -66,6 +66,22 @@ def test_links(spark, monkeypatch, spread):
         assert got == want
 
 
+def test_groups_that_no_list_holds(spark, monkeypatch):
+    """160 vectors that are near each other but each its own ball, and 400 copies of one vector in 50 parts of a bucket."""
+    monkeypatch.setattr(nn_descent, "BUCKET", 8)
+    monkeypatch.setattr(nn_descent, "ROUNDS", 1)
+    monkeypatch.setattr(nn_descent, "BLOCK", 64, raising=False)
+    rng = np.random.default_rng(3)
+    base = np.ones(64)
+    group = [np.float32(base + 0.25 * rng.normal(size=64)).tolist() for _ in range(160)]
+    rows = list(enumerate(group + [[1.0] + [0.0] * 63] * 400 + make(5, 10, 0.05, 64)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    want, got = brute(rows), sorted((tuple(r) for r in nn_descent.near_duplicates(df, neighbours=2).collect()), key=repr)
+    assert [r[0] for r in got] == [r[0] for r in want] and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+    links = lambda rows: (sum(r[1] for r in rows if r[0] < 160), sum(r[1] for r in rows if 160 <= r[0] < 560))
+    assert links(got)[0] >= 0.99 * links(want)[0] and links(got)[1] == links(want)[1]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     odd = [None, [], [0.0, 0.0], [1.0, None], [nan, 1.0], [inf, 1.0], [1.0, 0.0], [2.0, 0.0], [1.0, 0.1], [0.0, 1.0], [1.0], [3.0], [1e38, 0.0], [-1.0, 0.0]]
