@@ -11,11 +11,12 @@ counts their links and passes on only as many pairs as connect the same balls.
 
 Two balls that are neighbours are resolved exactly: by their radii where these decide, then by each member's angle to the
 other centre, and member by member for what is left. So every link that is reported holds. The audit compares the links of a
-bounded set of query vectors with brute force over all vectors; below the wanted recall, lists are doubled and refined again.
+fiftieth of all points with brute force over all points, apart for points with few links and with many; where the mean of
+either is below the wanted recall, lists are doubled and refined again, and in the end all points are compared in blocks.
 
 At scale: no bucket exceeds ``BUCKET`` rows (larger ones are split by hash), lists are bounded by their length, joins are
 on ids of written tables. A block of ``BLOCK`` points of saturated balls takes one scan of all points; a group that no list
-holds costs its size times the table's in products, but no row per pair. The audit scans all vectors once against ``AUDIT`` queries.
+holds costs its size times the table's in products, but no row per pair. The audit scans all points once for each ``BLOCK`` of its queries.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ CHANGED = 0.002
 BEST = 3
 RECALL = 0.95
 AUDIT = 256
+SHARE = 50
+FEW = 8
 CHUNK = 256
 BLOCK = 4096
 LONGEST = 8
@@ -352,25 +355,34 @@ def _block(own: list, threshold: float, connect: bool = True) -> Callable[[Itera
     return compare
 
 
-def _audit(found: DataFrame, points: DataFrame, vectors: DataFrame, threshold: float) -> float:
-    """The share of the links of at most AUDIT query points that was found; 1 without links."""
-    queries = points.orderBy(F.xxhash64("u"), "u").limit(AUDIT).select("u", "v", "dim").collect()
-    if not queries:
-        return 1.0
-    by_dim = {d: (np.array([q.u for q in queries if q.dim == d]), _vectors([q.v for q in queries if q.dim == d])) for d in {q.dim for q in queries}}
+def _sample(members: DataFrame, tmp: Scratch) -> DataFrame:
+    """A share of all points, at least AUDIT where there are as many."""
+    share = members.filter(F.pmod(F.xxhash64("u"), F.lit(SHARE)) == 0)
+    least = members.orderBy(F.xxhash64("u"), "u").limit(AUDIT)
+    return tmp.save(share.union(least).distinct(), "audit-sample")
+
+
+def _true(sample: DataFrame, members: DataFrame, threshold: float, tmp: Scratch) -> DataFrame:
+    """Of each asked point the number of its links beyond its ball, by comparing it with all points: u, links."""
+    blocks = -(-sample.count() // BLOCK)
+    found = None
+    # none of the others is counted
+    all_ = members.withColumn("hot", F.lit(True))
+    for k in range(blocks):
+        own = sample.filter(F.pmod(F.xxhash64("u", F.lit(7)), F.lit(blocks)) == k).collect()
+        part = tmp.save(all_.mapInArrow(_block(own, threshold, connect=False), "u long, n long, a long, b long"), f"audit-block-{k}")
+        found = part if found is None else found.union(part)
+    if found is None:
+        return members.sparkSession.createDataFrame([], "u long, links long")
+    return tmp.save(found.groupBy("u").agg(F.sum("n").alias("links")), "audit-true")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, vs, dims = np.asarray(batch.column("u")), batch.column("v").to_pylist(), np.asarray(batch.column("dim"))
-            for d, (asked, x) in by_dim.items():
-                at = np.flatnonzero(dims == d)
-                if len(at):
-                    hit = (_vectors([vs[i] for i in at]) @ x.T >= threshold) & (u[at][:, None] != asked[None, :])
-                    yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(hit.sum(axis=0), pa.int64())], names=["u", "n"])
 
-    true = vectors.select("u", "v", "dim").mapInArrow(count, "u long, n long").groupBy("u").agg(F.sum("n").alias("true"))
-    got = true.join(found, "u", "left").agg(F.sum("true").alias("t"), F.sum(F.least(F.coalesce("n_links", F.lit(0)), F.col("true"))).alias("g")).first()
-    return got.g / got.t if got.t else 1.0
+def _audit(found: DataFrame, true: DataFrame) -> float:
+    """The mean over points of the share of their links (u, n) beyond their balls that was found, for points with at most FEW links or
+    for those with more, where it is less; 1 without links."""
+    share = F.least(F.coalesce("n", F.lit(0)), F.col("links")) / F.col("links")
+    means = true.filter("links > 0").join(found, "u", "left").groupBy(F.col("links") <= FEW).agg(F.avg(share).alias("recall")).collect()
+    return min((m.recall for m in means), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -392,23 +404,26 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     members = tmp.save(balls.join(points, "u"), "members")
     stats = members.groupBy("ball").agg(F.max("angle").alias("r"), F.sum("copies").alias("size")).withColumnRenamed("ball", "u")
     centres = tmp.save(stats.join(points.select("u", "v", "dim"), "u"), "centres")
-    k = neighbours
+    k, every = neighbours, False
+    true = _true(_sample(members, tmp), members, threshold, tmp)
     while True:
-        lists = _graph(centres, bits, theta, tmp, k, LONGEST * neighbours, f"k{k}")
-        hot = tmp.save(lists.filter(_saturated()).select(F.col("u").alias("ball")), f"k{k}-hot")
+        # where the longest lists fall short, all are compared in blocks
+        lists = lists.limit(0) if every else _graph(centres, bits, theta, tmp, k, LONGEST * neighbours, f"k{k}")
+        hot = centres if every else lists.filter(_saturated())
+        hot = tmp.save(hot.select(F.col("u").alias("ball")), f"k{k}-hot")
         near = lists.select("u", F.explode("list").alias("e")).filter("e.near").select("u", "e.w", "e.cosine")
         both = near.union(near.select(F.col("w").alias("u"), F.col("u").alias("w"), "cosine")).groupBy(F.col("u").alias("i"), F.col("w").alias("j")).agg(F.max("cosine").alias("cosine"))
         both = both.join(hot.withColumnRenamed("ball", "i"), "i", "left_anti").join(hot.withColumnRenamed("ball", "j"), "j", "left_anti").select("i", "j", "cosine")
         outside, linked = _resolved(tmp.save(both, f"k{k}-near"), balls, points, centres, threshold, tmp, f"k{k}")
         more, connected = _in_blocks(members, hot, threshold, tmp, f"k{k}-hot")
         outside, linked = outside.union(more), linked.union(connected)
-        outside = outside.groupBy("u").agg(F.sum("n").alias("n"))
+        outside = tmp.save(outside.groupBy("u").agg(F.sum("n").alias("n")), f"k{k}-outside")
         inside = balls.join(centres.select(F.col("u").alias("ball"), "size"), "ball")
         links = inside.join(outside, "u", "left").select("u", "ball", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"))
         links = tmp.save(links, f"k{k}-links")
-        if k >= 8 * neighbours or _audit(links, points, usable, threshold) >= RECALL:
+        if every or _audit(outside, true) >= RECALL:
             break
-        k *= 2
+        every, k = k >= LONGEST * neighbours, k * 2
     reached = components(tmp.save(linked, f"k{k}-linked"), tmp, "balls-reached")
     placed = links.join(reached, F.col("ball") == F.col("node"), "left").select("u", "n_links", F.coalesce("root", "ball").alias("root"))
     first = points.filter("copies > 1").select("v", F.col("u").alias("p"))

@@ -82,6 +82,28 @@ def test_groups_that_no_list_holds(spark, monkeypatch):
     assert links(got)[0] >= 0.99 * links(want)[0] and links(got)[1] == links(want)[1]
 
 
+def test_lost_pairs_are_audited(spark, monkeypatch):
+    """A large group holds nearly all links; the first lists lose every pair."""
+    graph, calls = nn_descent._graph, []
+
+    def losing(*args):
+        lists = graph(*args)
+        calls.append(args)
+        return lists.filter("size(filter(list, e -> e.near)) > 1") if len(calls) == 1 else lists
+
+    monkeypatch.setattr(nn_descent, "_graph", losing)
+    rng = np.random.default_rng(4)
+    base = np.ones(64)
+    group = [np.float32(base + 0.25 * rng.normal(size=64)).tolist() for _ in range(100)]
+    pairs = []
+    for _ in range(30):
+        a = rng.normal(size=64)
+        pairs += [np.float32(a + 0.25 * rng.normal(size=64)).tolist() for _ in range(2)]
+    rows = list(enumerate(group + pairs))
+    want, got = brute(rows), run(spark, rows)
+    assert len(calls) == 2 and got == want and sum(r[1] for r in want if r[0] >= 100) >= 40
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     odd = [None, [], [0.0, 0.0], [1.0, None], [nan, 1.0], [inf, 1.0], [1.0, 0.0], [2.0, 0.0], [1.0, 0.1], [0.0, 1.0], [1.0], [3.0], [1e38, 0.0], [-1.0, 0.0]]
