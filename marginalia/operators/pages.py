@@ -28,10 +28,13 @@ def furniture(pages: DataFrame, issue: str, page: str, text: str, least: int = 3
 
 def strip_furniture(pages: DataFrame, found: DataFrame, issue: str, page: str, text: str) -> DataFrame:
     """issue, page, text without page numbers and furniture among the first and last three raw lines; three and more line feeds become two.
-    The list of an issue's furniture is a few lines, so it is joined as a map."""
-    known = found.groupBy(issue).agg(F.collect_set("line").alias("_known"))
+    A page's edge lines are joined to the furniture by issue and line, so no list of an issue's furniture is gathered."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    rows = pages.select(issue, page, lines.alias("_lines")).join(known, issue, "left")
+    rows = pages.select(issue, page, lines.alias("_lines"))
+    edges = F.concat(F.slice("_lines", 1, EDGE_LINES), F.slice(F.reverse("_lines"), 1, EDGE_LINES))
+    each = rows.select(issue, page, F.explode(F.array_distinct(F.transform(edges, T.furniture_key))).alias("line"))
+    known = each.join(found.select(issue, "line"), [issue, "line"]).groupBy(F.col(issue).alias("_issue"), F.col(page).alias("_page")).agg(F.collect_set("line").alias("_known"))
+    rows = rows.join(known, (F.col(issue) == F.col("_issue")) & F.col(page).eqNullSafe(F.col("_page")), "left")
     at_edge = lambda i: (i < EDGE_LINES) | (i >= F.size("_lines") - EDGE_LINES)
     gone = lambda x: T.is_folio(x) | F.coalesce(F.array_contains("_known", T.furniture_key(x)), F.lit(False))
     kept = F.filter("_lines", lambda x, i: ~(at_edge(i) & gone(x)))
