@@ -3,7 +3,8 @@
 Fixed patterns find e-mail addresses, IP addresses, card numbers and phone numbers: the seeds. Around each seed, and around
 every other token that looks like an identifier, the words before it (one and two of them) are lexical patterns for that kind
 of identifier. Spark scores the bipartite graph of patterns and instances: a pattern is as good as the instances it
-extracts, an instance as good as the patterns that extract it; seeds are certain, and tokens that look like no kind of
+extracts, an instance as good as the patterns that extract it; seeds are certain, a pattern needs the support of seeds or of
+instances that earlier rounds made certain enough, and tokens that look like no kind of
 identifier at a pattern's place count against it. After a few rounds, instances of high confidence that the fixed patterns
 don't cover are added as spans of the kind that their patterns stand for.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,12 +32,17 @@ LEAST_SUPPORT = 3
 PATTERN_CONFIDENCE = 0.6
 INSTANCE_CONFIDENCE = 0.8
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The patterns of each kind, in forms that take linear time: repetitions are possessive, and runs are tried from their beginning only.
+_LOCAL = string.ascii_letters + string.digits + "._%+-"
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Tokens that may be an identifier: with an at sign, or with four digits or more.
-_TOKEN = re.compile(r"[^\s,;<>\"'|()\[\]{}]*[0-9@][^\s,;<>\"'|()\[\]{}]*")
+_IN_TOKEN = r"[^\s,;<>\"'|()\[\]{}"
+_TOKEN = re.compile(rf"(?<!{_IN_TOKEN}]){_IN_TOKEN}0-9@]*+[0-9@]{_IN_TOKEN}]*+")
+#: Groups of digits that white space, dots, dashes and brackets part, in one line.
+_GROUPS = re.compile(r"(?<![\w.+-])\(?[0-9]{1,6}+\)?(?:[ .-]{1,2}+\(?[0-9]{1,6}+\)?){1,7}+(?![\w-])")
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
 _BEFORE = 80
@@ -49,11 +56,25 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """From each at sign to the left as far as its local part goes, but not into the match before, and to the right over the domain."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        width, low = 64, max(free, at - 64)
+        while (start := len(text[low:at].rstrip(_LOCAL)) + low) == low > free:  # the whole window is local part
+            width *= 2
+            low = max(free, at - width)
+        m = _DOMAIN.match(text, at) if start < at else None
+        if m:
+            yield start, m.end()
+            free = m.end()
+        at = text.find("@", max(at + 1, free))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end), sorted; per kind leftmost and non-overlapping, failing matches dropped."""
     out = []
-    if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in _EMAIL.finditer(text)]
+    out += [(s, 0, e) for s, e in emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
@@ -77,7 +98,7 @@ def shape(token: str) -> int | None:
         return 0
     if token.count(".") == 3 and digits >= 4 and digits + 3 == len(token):
         return 1
-    plain = token.replace("-", "").replace("+", "").replace(".", "")
+    plain = re.sub(r"[-+. ()]", "", token)
     if len(plain) == digits and 12 <= digits <= 19:
         return 2
     if len(plain) == digits and 7 <= digits <= 15:
@@ -95,19 +116,33 @@ def _digest(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def _after(spans: list[tuple[int, int]], at: int, start: int) -> int:
+    while at < len(spans) and spans[at][1] <= start:
+        at += 1
+    return at
+
+
 def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
-    """(start, end, kind or -1, instance, seed, patterns): seeds, and other tokens with digits or an at sign."""
+    """(start, end, kind or -1, instance, seed, patterns): seeds, other tokens with digits or an at sign, and groups of
+    digits that make up a number of the length of a card's or a phone's. Spans don't overlap."""
     covered, at = sorted((s, e) for s, _, e in base), 0
     out = [(s, e, k, _digest(text[s:e].lower()), True, patterns(text, s)) for s, k, e in base]
     if not (_DIGIT.search(text) or "@" in text):
         return out
+    groups = []
+    for m in _GROUPS.finditer(text):
+        if shape(m[0]) in (2, 3) and " " in m[0].strip():  # what has no white space is a token
+            groups.append((m.start(), m.end()))
+            at = _after(covered, at, m.start())
+            if not (at < len(covered) and covered[at][0] < m.end()):
+                out.append((m.start(), m.end(), shape(m[0]), _digest(re.sub(r"\D", "", m[0])), False, patterns(text, m.start())))
+    at = of = 0
     for m in _TOKEN.finditer(text):
         start, end = m.start(), m.end()
         token = m[0].rstrip(".!?:#$%&*")
         end = start + len(token)
-        while at < len(covered) and covered[at][1] <= start:
-            at += 1
-        if at < len(covered) and covered[at][0] < end or len(token) < 5:
+        at, of = _after(covered, at, start), _after(groups, of, start)
+        if at < len(covered) and covered[at][0] < end or of < len(groups) and groups[of][0] < end or len(token) < 5:
             continue
         kind = shape(token)
         out.append((start, end, -1 if kind is None else kind, _digest(token.lower()), False, patterns(text, start)))
@@ -146,10 +181,10 @@ def _scored(extracted: DataFrame, tmp: Scratch, rounds: int) -> DataFrame:
     totals = tmp.save(edges.groupBy("pattern").agg(F.countDistinct("instance").alias("total")), "totals")
     for k in range(1, rounds + 1):
         scored = edges.filter("kind >= 0").join(nodes, ["instance", "kind"])
-        good = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("good"), F.sum(F.col("seed").cast("int")).alias("seeds"))
+        good = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("good"), F.sum((F.col("seed") | (F.col("score") >= INSTANCE_CONFIDENCE)).cast("int")).alias("support"))
         good = tmp.save(good, f"good-{k}")
         confident = good.join(totals, "pattern").withColumn("confidence", F.col("good") / F.col("total"))
-        confident = confident.filter((F.col("seeds") >= LEAST_SUPPORT) & (F.col("confidence") >= PATTERN_CONFIDENCE)).select("pattern", "kind", "confidence")
+        confident = confident.filter((F.col("support") >= LEAST_SUPPORT) & (F.col("confidence") >= PATTERN_CONFIDENCE)).select("pattern", "kind", "confidence")
         confident = tmp.save(confident, f"confident-{k}")
         # an instance is missed only if all of its patterns are wrong
         miss = edges.join(confident, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence")))).alias("miss"))

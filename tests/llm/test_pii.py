@@ -1,8 +1,11 @@
 """Base spans against the stated patterns, and what contexts add."""
 
 import hashlib
+import random
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -33,6 +36,36 @@ def test_base_spans(text):
     assert pii.base_spans(text) == plain(text)
 
 
+@given(st.text(alphabet="0123456789.@ab-", max_size=400))
+@settings(max_examples=300, deadline=None)
+def test_base_spans_of_dense_texts(text):
+    assert pii.base_spans(text) == plain(text)
+
+
+def test_tokens_equal_the_plain_pattern():
+    rnd = random.Random(5)
+    slow = re.compile(r"[^\s,;<>\"'|()\[\]{}]*[0-9@][^\s,;<>\"'|()\[\]{}]*")
+    for _ in range(3000):
+        text = "".join(rnd.choice("ab1@ ,.(\u2003") for _ in range(rnd.randint(0, 30)))
+        assert [m.span() for m in pii._TOKEN.finditer(text)] == [m.span() for m in slow.finditer(text)]
+
+
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "a" * 500_000 + " b@c " + "a" * 500_000, "1." * 500_000, "a@" * 500_000, "+1(" * 300_000, "1 " * 500_000, "a@b." * 250_000, "(1) " * 250_000])
+def test_long_texts_take_linear_time(text):
+    began = time.process_time()
+    pii.occurrences(text, pii.base_spans(text))
+    assert time.process_time() - began < 15
+
+
+def test_groups_of_digits_and_support_of_what_was_found(spark):
+    rows = [(i, f"please dial now +1 (2{i % 10}0) 555-01{i:02d} today") for i in range(30)]
+    rows += [(100 + i, f"please dial now 555 0199 1{i:02d} or ask for extension 555 0199 1{i:02d} at any hour") for i in range(5)]
+    rows += [(200, "extension (555) 777 1234 at any hour"), (201, "the years 1999 2001 and 2003")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS base", "'x' AS spans", "3 AS row")
+    got = {r.doc_id: r.spans for r in pii.pii_digest(docs).collect()}
+    assert got[100] == "phone:16:28,phone:50:62" and got[200] == "phone:10:24" and not got[201]
+
+
 def written(spans):
     return ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
