@@ -22,7 +22,7 @@ from marginalia.llm.shared import Scratch, text_of
 
 BLOCK_DOCS = 256
 BUCKET_BITS = 12
-STEPS = 50
+GRID = 64
 
 
 def token_count(text: Column) -> Column:
@@ -38,51 +38,53 @@ def _permuted(seed: int, source: Column, blocks: Column, doc_id: Column) -> list
 
 
 def _bisect(shares: DataFrame, entropy: float | None, repeats: float | None, budget: float | None) -> tuple[float, float, float]:
-    """The exponent, the sum of the shares' powers, and the budget in units of all tokens."""
+    """The exponent, the sum of the shares' powers, and the budget in units of all tokens. One job tries GRID exponents at once."""
 
-    def at(a: float) -> tuple[float, float, float]:
-        p = F.pow("share", F.lit(a))
-        got = shares.agg(F.sum(p).alias("z"), F.sum(p * F.log(p)).alias("pl"), F.min(p / F.col("share")).alias("low"), F.max(p / F.col("share")).alias("high")).first()
-        return got.z, math.log(got.z) - got.pl / got.z, got.low, got.high
+    def at(exponents: list[float]) -> list:
+        each = shares.select("share", F.explode(F.array(*map(F.lit, exponents))).alias("a"))
+        p = F.pow("share", "a")
+        got = each.groupBy("a").agg(F.sum(p).alias("z"), F.sum(p * F.log(p)).alias("pl"), F.min(p / F.col("share")).alias("low"), F.max(p / F.col("share")).alias("high"))
+        return sorted(got.collect())
 
     if shares.isEmpty():
         return 1.0, 1.0, 1.0
 
-    def too_flat(a: float) -> bool:
-        z, h, low, high = at(a)
+    def too_flat(row) -> bool:
         if entropy is not None:
-            return h > entropy
-        passes = high / low if budget is None else budget * high / z
+            return math.log(row.z) - row.pl / row.z > entropy
+        passes = row.high / row.low if budget is None else budget * row.high / row.z
         return passes > repeats
 
     low, high = (0.0, 16.0) if entropy is not None else (0.0, 1.0)
-    if not too_flat(low):
+    if not too_flat(at([low])[0]):
         high = low
-    else:
-        for _ in range(STEPS):
-            middle = (low + high) / 2
-            low, high = (middle, high) if too_flat(middle) else (low, middle)
-            if high - low < 1e-9:
-                break
-    z, _, least, _ = at(high)
-    return high, z, budget if budget is not None else z / least
+    while high - low > 1e-9:
+        rows = at([low + (high - low) * k / GRID for k in range(1, GRID)])
+        flat = [r.a for r in rows if too_flat(r)]
+        low = max([low, *flat])
+        high = min([high, *(r.a for r in rows if r.a > low)])
+    row = at([high])[0]
+    return high, row.z, budget if budget is not None else row.z / row.low
 
 
 def mixing_plan(
     docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", *,
     target_entropy: float | None = None, repetition_limit: float | None = None, budget: float | None = None, seed: int = 17, block_docs: int = BLOCK_DOCS,
+    tokens_col: str | None = None,
 ) -> DataFrame:
     """Per source: tokens, share, weight, budget_tokens, passes (whole ones) and the cut of the last, partial pass.
 
     Give ``target_entropy`` (nats) or ``repetition_limit`` (passes over a source at most, 1 or more). ``budget`` is in units of
     all tokens; without it, the budget is the smallest that passes over each source once in full, so nothing is lost.
+    Tokens are runs of characters other than white space, or as ``tokens_col`` counts them (null: 0).
     Null is a source of its own. Null texts are empty. A source without tokens has weight 0 and takes one pass, which
     costs nothing. An entropy beyond what exponents of 0 to 16 reach gives the nearest one reached.
     """
     if (target_entropy is None) == (repetition_limit is None):
         raise ValueError("give target_entropy or repetition_limit")
     tmp = Scratch(docs.sparkSession, "mixing")
-    rows = tmp.save(docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), token_count(text_of(text_col)).alias("tokens")), "rows")
+    tokens = token_count(text_of(text_col)) if tokens_col is None else F.coalesce(F.col(tokens_col), F.lit(0))
+    rows = tmp.save(docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), tokens.cast("long").alias("tokens")), "rows")
     sums = tmp.save(rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "sums")
     total = sums.agg(F.sum("tokens")).first()[0] or 0
     shares = sums.filter("tokens > 0").select((F.col("tokens") / F.lit(float(total or 1))).alias("share"))
@@ -136,16 +138,19 @@ def _inside(placed: DataFrame, cut: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_copies(docs: DataFrame, plan: DataFrame, source_col: str = "source", id_col: str = "doc_id", *, seed: int = 17) -> DataFrame:
-    """The documents with ``_copies``, how often each is passed over: the source's whole passes, and one more before the cut."""
-    right = plan.select(F.col("source").alias("_source"), "blocks", "passes", "cut", "rest", "weight")
-    joined = docs.join(right, F.col(source_col).eqNullSafe(F.col("_source")), "left")
-    mine = F.struct(*_permuted(seed, F.col(source_col), F.col("blocks"), F.col(id_col)))
-    more = (F.col("rest") > 0) & (F.col("cut").isNull() | (mine < F.col("cut")))
-    return joined.withColumn("_copies", F.col("passes") + F.when(more, 1).otherwise(0)).drop("_source", "blocks", "passes", "cut", "rest")
+    """The documents with ``_mix_weight``, the weight of its source, and ``_mix_copies``, how often each is passed over: the source's whole
+    passes, and one more before the cut. Rows with equal ids and sources are passed over equally often. Columns of documents may
+    have any name that doesn't begin with ``_mix_``."""
+    right = plan.select(*(F.col(c).alias(f"_mix_{c}") for c in ("source", "blocks", "passes", "cut", "rest", "weight")))
+    joined = docs.join(right, F.col(source_col).eqNullSafe(F.col("_mix_source")), "left")
+    mine = F.struct(*_permuted(seed, F.col(source_col), F.col("_mix_blocks"), F.col(id_col)))
+    more = (F.col("_mix_rest") > 0) & (F.col("_mix_cut").isNull() | (mine < F.col("_mix_cut")))
+    copies = F.col("_mix_passes") + F.when(more, 1).otherwise(0)
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), "_mix_weight", copies.alias("_mix_copies"))
 
 
 def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents, each as often as its source's budget passes over it; same columns."""
     plan = mixing_plan(docs, source_col, id_col, text_col, **how)
-    out = with_copies(docs, plan, source_col, id_col, seed=how.get("seed", 17))
-    return out.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    out = with_copies(docs, plan, source_col, id_col, seed=how.get("seed", 17)).filter("_mix_copies > 0")
+    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -54,7 +54,7 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: source, weight of its source, copies. No source is passed over more than twice, none less than once."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     plan = mixing.mixing_plan(docs, repetition_limit=2.0)
-    return mixing.with_copies(docs.drop("text"), plan).selectExpr("doc_id", "source", "weight", "_copies AS copies")
+    return mixing.with_copies(docs.drop("text"), plan).selectExpr("doc_id", "source", "_mix_weight AS weight", "_mix_copies AS copies")
 
 
 def queries() -> dict[str, Query]:

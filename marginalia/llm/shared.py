@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,9 +15,11 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where it is unset (tests on one machine), a local one is set for the session."""
+    """The folder named by spark.checkpoint.dir. Only where it is unset and all of Spark is one process, a local one is set for the session."""
     found = spark.conf.get(_SETTING, None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {_SETTING} to a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="marginalia-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         found = f"file://{local}"
