@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -9,8 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _CUT = "\x01"
-_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_MARK = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe, which contractions begin with
+#: Letters that stay one letter in lower case and in every normal form, so that no vocabulary's normaliser makes more of them.
+_LETTERS = [c for c in map(chr, range(0x41, 0x250)) if c.isalpha() and all(len(x) == 1 and x.isalpha() for f in ("NFC", "NFKC") for x in (unicodedata.normalize(f, c), unicodedata.normalize(f, c.lower())))]
+_MARKS = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]  # contractions begin with the apostrophe
 #: Special tokens begin so, and the library looks for them before it splits; white space that engines disagree about.
 _DOUBTFUL = r"<\||[\x01\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 _RUN = r"[ \t\n\r][ \t\n\r]"
@@ -27,7 +29,8 @@ class Encoder:
     """The ids that the tokenizers library gives for whole texts, with each distinct segment encoded once.
 
     Both public vocabularies split a text before they merge: no token spans the place between a Latin letter and a
-    punctuation mark, that before single white space, or that after a line feed. Texts are cut at those places. Special
+    punctuation mark, that before single white space, or that after a line feed. Texts are cut at those places, but
+    between a letter and a mark only where the library, asked for every such pair when the vocabulary is loaded, cuts too. Special
     tokens, and white space that engines disagree about, send the whole text to the library; so do runs of white
     space, if the vocabulary keeps white space at all.
     """
@@ -40,8 +43,18 @@ class Encoder:
         self.tokenizer.no_padding()
         a, big, spaced = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", "A", " a\n"))
         self.folds_case, self.drops_white = a == big, a == spaced
+        letters, marks = self._proven()
+        self.cuts = f"([{letters}])([{marks}])|([{marks}])([{letters}])"
         self._forget()
 
+    def _proven(self) -> tuple[str, str]:
+        """The letters, as a class of a regular expression, that every mark is parted from on both sides; and the marks."""
+        alone = dict(zip([*_LETTERS, *_MARKS], (x.tolist() for x in self._library([*_LETTERS, *_MARKS])), strict=True))
+        pairs = [p for c in _LETTERS for m in _MARKS for p in ((c, m), (m, c))]
+        joined = self._library([a + b for a, b in pairs])
+        bad = {c for (a, b), ids in zip(pairs, joined, strict=True) if ids.tolist() != alone[a] + alone[b] for c in (a, b) if c in alone and c.isalpha()}
+        return "".join(c for c in _LETTERS if c not in bad), "".join(f"\\x{ord(m):02x}" for m in _MARKS)
+
     def _forget(self) -> None:
         self.known, self.flat, self.sizes = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
@@ -51,7 +64,7 @@ class Encoder:
     def _segments(self, texts: pa.Array) -> pa.Array:
         """A list of segments for each text."""
         cut = " " if self.drops_white else _CUT
-        texts = pc.replace_substring_regex(texts, f"([{_LETTER}])([{_MARK}])|([{_MARK}])([{_LETTER}])", rf"\1\3{cut}\2\4")
+        texts = pc.replace_substring_regex(texts, self.cuts, rf"\1\3{cut}\2\4")
         if self.folds_case:
             texts = pc.ascii_lower(texts)
         if self.drops_white:

@@ -39,6 +39,20 @@ def test_encoder_equals_the_library(path):
         assert own.tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_cuts_beside_every_letter(path):
+    """Letters whose lower case or normal form is more than a letter, beside all marks and after other letters and marks."""
+    rnd = random.Random(4)
+    letters = [*map(chr, range(0x41, 0x5B)), *map(chr, range(0x61, 0x7B)), *map(chr, range(0xC0, 0x250))]
+    marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+    texts = [f"{a}{m}{b}" for b in letters for m in marks for a in (b, "x")] + [f"'{b}({m}" for b in letters for m in marks]
+    texts += ["".join(rnd.choice(rnd.choice((letters, marks, ["\u0130", "\u0307", "e\u0301", "'", " ", "\n", "1"]))) for _ in range(rnd.randint(1, 8))) for _ in range(20_000)]
+    ids, bounds = tokens.Encoder(path).encode(pa.array(texts, pa.string()))
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    for text, own, e in zip(texts, np.split(ids, bounds[1:-1]), want, strict=True):
+        assert own.tolist() == e.ids, repr(text)
+
+
 def test_encoder_forgets_and_stays_right(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_SEGMENTS", 3)
     encoder = tokens.Encoder(BYTE)
