@@ -2,10 +2,11 @@
 
 A document's set is its distinct word shingles as 64-bit hashes, in one global order: rare ones first, those that Spark
 counts as frequent last. Two sets with a Jaccard similarity of the threshold share one of their first elements (as many as
-the threshold leaves room for), so each set goes to the buckets of those only, as two numbers an element. Where at most
-``PAIRED`` sets meet at an element, their pairs are candidates; a parity bitmap of each set bounds from below by how much
-two sets differ, and candidates that differ by too much go. Where more sets meet, those of compatible sizes are chained.
-Connected candidates are clusters, and every link is inside one cluster.
+the threshold leaves room for), so each set goes to the buckets of those only. The sets that meet at an element are a
+group. Of the pairs in a group those may link whose sizes are near enough and whose parity bitmaps, which bound from below by
+how much two sets differ, don't rule it out; a group gives as many of these as connect what all of them connect, so never
+more pairs than it has sets. Where more than ``PAIRED`` sets meet, those of compatible sizes are chained. Connected candidates are
+clusters, and every link is inside one cluster.
 The whole sets of a cluster are then stored in a trie. A set walks it once: sets that begin alike share the overlap
 counted so far, and a subtree is left as soon as what remains of either side can't make up the overlap that is missing.
 
@@ -17,15 +18,17 @@ The order is made in two steps: elements that tasks see often, then those at whi
 A merely common phrase so leaves the prefixes, and what still meets in numbers are groups of copies.
 
 At scale: texts are read three times and shuffled only for sets in clusters; shuffles carry numbers. A frequent passage
-comes last in the order, so it fills no bucket. No step gathers a group of unbounded size, none emits the pairs of a
-group, and the list of frequent elements is bounded (it only decides the order, so results don't depend on it).
+comes last in the order, so it fills no bucket. A task that has many sets at one element chains those of about one size and
+passes on one of them, so that an element of a third of all documents doesn't fill its bucket either. None emits the pairs of a
+group, and the list of frequent elements is bounded (it only decides the order, so results don't depend on it). A cluster that
+no pivot splits is compared in blocks, which is quadratic in its sets' number; the texts of one are alike in size and in
+a rare shingle, but mutually unlike.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +46,10 @@ FREQUENT = 8
 FREQUENT_ENTRIES = 1 << 20
 BUCKET_ENTRIES = 500_000
 TEXT_BYTES = 500_000
-PAIRED = 16
+PAIRED = 64
+CROWDED = 16
+SIZE_CLASS = 1.25**0.25
+HELD_KEYS = 1_000_000
 SKETCH_BITS = 1 << 15
 FILTER_BITS = 1 << 23
 UNIT_SETS = 192
@@ -260,49 +266,146 @@ def _ranked(counts: list[DataFrame]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _crowded(rows: DataFrame, tmp: Scratch, words: int, percent: int, order) -> DataFrame:
-    """h, c: the elements not yet known as frequent at which more than PAIRED prefixes meet, and how many do."""
+    """h, c: the elements not yet known as frequent at which more than CROWDED prefixes meet, and how many do."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(8, int(np.ceil(np.log2(max(1, size / 30 / BUCKET_ENTRIES)))))  # about a prefix element for 30 bytes
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, times = np.unique(np.concatenate(held), return_counts=True)
+            bucket = _mixed(keys) >> np.uint64(64 - bits)
+            at = np.argsort(bucket, kind="stable")
+            return _dealt(bucket[at], {"keys": keys[at], "times": times[at].astype(np.int32)})
+
         for batch in batches:
             for start, n in tokens.bounded(batch.column(0), TEXT_BYTES):
                 sets = [ordered(x, *order.value) for x in shingle_sets(pc.fill_null(batch.column(0).slice(start, n), "").to_pylist(), words)]
                 keys = np.concatenate([x[: prefix_length(len(x), percent)] for x in sets])
-                keys = keys[keys < _HOT]
-                bucket = _mixed(keys) >> np.uint64(64 - bits)
-                keys = keys[np.argsort(bucket, kind="stable")]
-                found, times = np.unique(bucket, return_counts=True)
-                ends = np.cumsum(times)
-                raw = [keys[e - t : e].tobytes() for e, t in zip(ends.tolist(), times.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(raw, pa.binary())], names=["bucket", "keys"])
+                held.append(keys[keys < _HOT])
+                size += len(held[-1])
+                if size > HELD_KEYS:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in _grouped(batches, 1):
-            found, times = np.unique(np.frombuffer(b"".join(r[1] for r in own), np.uint64), return_counts=True)
-            many = times > PAIRED
-            yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(times[many].astype(np.int64))], names=["h", "c"])
+            found, at = np.unique(_values(own, "keys", np.uint64), return_inverse=True)
+            times = np.bincount(at, weights=_values(own, "times", np.int32)).astype(np.int64)
+            many = times > CROWDED
+            yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(times[many])], names=["h", "c"])
 
-    dealt = rows.select("text").mapInArrow(deal, "bucket long, keys binary")
+    dealt = rows.select("text").mapInArrow(deal, "bucket long, keys binary, times binary")
     return tmp.save(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "h long, c long"), "crowded")
 
 
-def _met(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The entries whose key others have too, each once, by key, size and name."""
+def _dealt(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each bucket (they are in order) with its part of each column, as bytes."""
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+    parts = [pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for x in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int64)), *parts], names=["bucket", *columns])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Runs of rows with equal first columns (long or int), as slices of the batches."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(by)], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            mine = tuple(keys[a].tolist())
+            if held and mine != key:
+                yield key, held
+                held = []
+            key = mine
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, held
+
+
+def _values(own: list[pa.RecordBatch], column: str, kind) -> np.ndarray:
+    """The numbers that a column of bytes holds."""
+    parts = []
+    for batch in own:
+        c = batch.column(column)
+        places = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        parts.append(np.frombuffer(memoryview(c.buffers()[2] or b"")[places[0] : places[-1]], kind))
+    return np.concatenate(parts)
+
+
+def _thinned(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries sorted by key. Where more than PAIRED have a key, one of each class of sizes stays for it, with its size negative, and is
+    chained with the others of its class: the entries, and the chained pairs."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    times = np.diff(np.append(starts, len(keys)))
+    hot = np.repeat(times > PAIRED, times)
+    if not hot.any():
+        return keys, names, sizes, np.zeros((0, 2), np.int64)
+    at = np.flatnonzero(hot)
+    level = np.floor(np.log(sizes[at]) / np.log(SIZE_CLASS)).astype(np.int64)
+    order = np.lexsort((names[at], sizes[at], level, keys[at]))
+    at, level = at[order], level[order]
+    new = np.concatenate([[True], (keys[at][1:] != keys[at][:-1]) | (level[1:] != level[:-1])])
+    first = at[new][np.cumsum(new) - 1]
+    chained = np.unique(np.stack([names[first], names[at]], axis=1)[~new], axis=0)
+    stay = np.concatenate([np.flatnonzero(~hot), at[new]])
+    sizes = sizes.copy()
+    sizes[at[new]] *= -1
+    stay = stay[np.argsort(keys[stay], kind="stable")]
+    return keys[stay], names[stay], sizes[stay], chained[chained[:, 0] != chained[:, 1]]
+
+
+def _meeting(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[set[bytes], np.ndarray]:
+    """Groups of at most PAIRED names that meet at an element and whose sizes may link; chained pairs of names where more meet."""
     at = np.argsort(keys, kind="stable")
     k = keys[at]
-    same = np.concatenate([[False], k[1:] == k[:-1]]) if len(k) else np.zeros(0, bool)
-    at = at[same | np.concatenate([same[1:], [False]])] if len(k) else at
-    at = at[np.lexsort((names[at], sizes[at], keys[at]))]
-    keys, names, sizes = keys[at], names[at], sizes[at]
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])]) if len(keys) else np.zeros(0, bool)
-    return keys[new], names[new], sizes[new]
-
-
-def _grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[list, list[tuple]]]:
-    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-    for key, own in groupby(rows, key=lambda r: r[:by]):
-        yield key, list(own)
+    same = k[1:] == k[:-1]
+    at = at[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(at) else at
+    size = np.abs(sizes).astype(np.int64)
+    at = at[np.lexsort((names[at], size[at], keys[at]))]
+    k, n = keys[at], names[at]
+    at = at[np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])])] if len(at) else at
+    k, n, size, rep = keys[at], names[at], size[at], sizes[at] < 0
+    if len(at) < 2:
+        return set(), np.zeros((0, 2), np.int64)
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    times = np.diff(np.append(first, len(k)))
+    chain = np.repeat((times > PAIRED) | np.logical_or.reduceat(rep, first), times)
+    same = k[1:] == k[:-1]
+    near = 100 * size[:-1] * np.where(chain[1:], SIZE_CLASS, 1.0) >= percent * size[1:]
+    links = np.flatnonzero(same & near & chain[1:])
+    pairs = np.unique(np.stack([n[links], n[links + 1]], axis=1), axis=0)
+    cuts = [0, *(np.flatnonzero(~(same & near)) + 1).tolist(), len(k)]
+    plain = ~chain
+    groups = {np.sort(n[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 and plain[a]}
+    return groups, pairs
+
+
+def forest(names: list[int], sizes: list[int], sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Of the pairs that may link as many as connect what all of them connect."""
+    width = min(map(len, sketches))
+    folded = []
+    for s in sketches:
+        x = np.frombuffer(s, np.uint64)
+        while len(x) > width // 8:  # a class of the coarser sketch is the sum of two
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        folded.append(x)
+    x, n = np.stack(folded), np.array(sizes, np.int64)
+    out, label = [], list(range(len(names)))
+    for i in range(len(names) - 1):
+        both = n[i] + n[i + 1 :]
+        good = np.bitwise_count(x[i] ^ x[i + 1 :]).sum(axis=1) <= both - 2 * -(-percent * both // (100 + percent))
+        for j in (np.flatnonzero(good) + i + 1).tolist():
+            if label[i] != label[j] and may_link(sketches[i], sketches[j], sizes[i], sizes[j], percent):
+                out.append((names[i], names[j]))
+                old, new = label[j], label[i]
+                label = [new if v == old else v for v in label]
+    return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -311,7 +414,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two documents link if 100 * intersection >= percent * union of their sets. Null and empty texts, and those of white
     space, have no shingles and link with nothing; their component is their own id. Rows with equal sets are linked. Null ids are never the
     smallest unless all of a component are null. Repeated rows are returned each; other columns are ignored; an empty table
-    gives an empty result. Elements are compared by 63-bit hashes, frequent ones by 57 bits.
+    gives an empty result. Elements are compared by 63-bit hashes, frequent ones by 57 bits, equal sets by 64 bits. A word's hash is a polynomial
+    modulo 2^64, which resists chance but not an author who constructs long words that collide.
     """
     spark, tmp = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -348,55 +452,54 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = np.asarray(pc.binary_length(batch.column(2)), dtype=np.int64) // 8
-            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64)
-            names, sizes = np.repeat(np.asarray(batch.column(0)), lengths), np.repeat(np.asarray(batch.column(1)), lengths)
-            mixed = _mixed(keys)
-            bucket = mixed >> np.uint64(64 - bits)
+            mixed = _mixed(_values([batch], "prefix", np.uint64))
+            at = np.argsort(mixed, kind="stable")
+            names, sizes = np.repeat(np.asarray(batch.column(0)), lengths)[at], np.repeat(np.asarray(batch.column(1)), lengths)[at]
+            mixed, names, sizes, chained = _thinned(mixed[at], names, sizes)
             keys = (mixed << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)  # elements that this makes equal are more candidates, no more
-            at = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[at])) + 1
-            own = [at[a:b] for a, b in zip(np.concatenate([[0], cuts]).tolist(), [*cuts.tolist(), len(at)], strict=True) if b > a]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(bucket[i[0]]) for i in own], pa.int64()), *(pa.array([x[i].tobytes() for i in own], pa.binary()) for x in (keys, names, sizes.astype(np.int32)))],
-                names=["bucket", "keys", "names", "sizes"],
-            )
+            yield _dealt(mixed >> np.uint64(64 - bits), {"keys": keys, "names": names, "sizes": sizes.astype(np.int32)})
+            if len(chained):  # pairs that are known go as they are: buckets below 0
+                a, b = (np.ascontiguousarray(chained[:, k]) for k in (0, 1))
+                bucket = np.full(len(a), -1 - int(_mixed(b[:1].view(np.uint64))[0] >> np.uint64(64 - bits)))
+                yield _dealt(bucket, {"keys": np.zeros(len(a), np.uint32), "names": a, "sizes": b})
 
     dealt = described.filter("prefix IS NOT NULL").select("name", "n", "prefix").mapInArrow(deal, "bucket long, keys binary, names binary, sizes binary")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in _grouped(batches, 1):
-            keys, names, sizes = (np.frombuffer(b"".join(r[k] for r in own), dtype=d) for k, d in ((1, np.uint32), (2, np.int64), (3, np.int32)))
-            keys, names, sizes = _met(keys, names, sizes)
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            met = np.repeat(np.diff(np.append(first, len(keys))), np.diff(np.append(first, len(keys))))
-            found = []
-            for step in range(1, PAIRED):
-                a, b = np.arange(len(keys) - step), np.arange(step, len(keys)) if len(keys) > step else np.zeros(0, np.int64)
-                a = a[: len(b)]
-                chain = met[a] > PAIRED
-                good = (keys[a] == keys[b]) & (100 * sizes[a].astype(np.int64) >= percent * sizes[b].astype(np.int64)) & (~chain | (step == 1))
-                found.append(np.stack([np.minimum(names[a], names[b])[good], np.maximum(names[a], names[b])[good], chain[good].astype(np.int64)], axis=1))
-            edges = np.unique(np.concatenate(found), axis=0)
-            if len(edges):
-                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.array(edges[:, 2] > 0)], names=["a", "b", "chain"])
-
-    candidates = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, chain boolean")
-    candidates = tmp.save(candidates.groupBy("a", "b").agg(F.max("chain").alias("chain")), "candidates")
+        for (bucket,), own in _grouped(batches, 1):
+            if bucket < 0:
+                groups, pairs = set(), np.stack([_values(own, "names", np.int64), _values(own, "sizes", np.int64)], axis=1)
+            else:
+                groups, pairs = _meeting(_values(own, "keys", np.uint32), _values(own, "names", np.int64), _values(own, "sizes", np.int32), percent)
+            if groups:
+                values = pa.ListArray.from_arrays(np.cumsum([0, *(len(g) // 8 for g in groups)], dtype=np.int32), pa.array(np.frombuffer(b"".join(groups), np.int64)))
+                yield pa.RecordBatch.from_arrays([values, pa.nulls(len(groups), pa.int64()), pa.nulls(len(groups), pa.int64())], names=["names", "a", "b"])
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), values_type), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["names", "a", "b"])
+
+    values_type = pa.list_(pa.int64())
+    met = tmp.save(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "names array<long>, a long, b long"), "met")
     sketches = tmp.save(described.filter("sketch IS NOT NULL").groupBy("name").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
-    sides = [sketches.select(F.col("name").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b")]
-    pairs = candidates.filter("NOT chain").join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    groups = met.filter("names IS NOT NULL").select("names").distinct().select(F.xxhash64("names").alias("g"), F.explode("names").alias("name"))
+    groups = groups.join(sketches, "name").select("g", "name", "n", "sketch")
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m, x, y = (batch.column(k).to_pylist() for k in range(2, 6))
-            good = pa.array([may_link(p, q, i, j, percent) for i, j, p, q in zip(n, m, x, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(good)
-
-    near = pairs.mapInArrow(bound, "a long, b long").union(candidates.filter("chain").select("a", "b"))
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for _, own in _grouped(batches, 1):
+            names, sizes, bits = ([x for batch in own for x in batch.column(c).to_pylist()] for c in ("name", "n", "sketch"))
+            found += forest(names, sizes, bits, percent)
+            if len(found) > 10_000:
+                yield _pairs(found)
+                found = []
+        if found:
+            yield _pairs(found)
+
+    near = groups.repartition("g").sortWithinPartitions("g", "n", "name").mapInArrow(connect, "a long, b long")
+    near = near.union(met.filter("a IS NOT NULL").select("a", "b"))
     clusters = tmp.save(components(near, tmp, "chains"), "clusters")
 
     names = tmp.save(described.select("id", "same", "n", "name"), "names")
-    tmp.drop("described", "frequent", "crowded", "candidates", "sketches")
+    tmp.drop("described", "frequent", "crowded", "met", "sketches")
     first = names.filter("n > 0").groupBy("name").agg(F.min(F.struct("id", "same")).alias("first"))
     sizes = tmp.save(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("pivot")), "cluster-sizes")
     wanted = first.join(clusters.join(sizes, "root"), F.col("name") == F.col("node"))
@@ -481,13 +584,18 @@ def _links(members: DataFrame, tmp: Scratch, percent: int) -> DataFrame:
     return out
 
 
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+
 def _in_units(units: DataFrame, percent: int) -> DataFrame:
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in _grouped(batches, 3):
-            names = [r[3] for r in own]
-            out = unit_links(names, [np.frombuffer(r[4], dtype=np.uint64) for r in own], percent)
+            names = [x for batch in own for x in batch.column("name").to_pylist()]
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for batch in own for x in batch.column("elements")]
+            out = unit_links(names, sets, percent)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+                yield _pairs(out)
 
     return units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(link, "a long, b long")
 
