@@ -8,7 +8,8 @@ over opens sequences of its own.
 At scale: which lengths share a sequence depends on the counts of each length only. So the plan is made from a
 histogram of at most ``capacity`` rows, whatever the corpus; its patterns come with multiplicities. A piece finds its
 place by its length and its rank among pieces of that length. Ranks come from one range-partitioned sort of
-(length, id, piece), with counts per partition and length, so no length is ever gathered in one task.
+(length, id, piece), with counts per partition and length, so no length is ever gathered in one task. Both tables of
+places are broadcast; they have a row for each length and partition at most.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from marginalia.llm import tokens
 from marginalia.llm.shared import Scratch
 
 CAPACITY = 1024
+SLICE_BYTES = 500_000
+BATCH_PIECES = 1000
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -36,9 +39,9 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer_path)
         for batch in batches:
-            for at, n in tokens.bounded(batch.column(1)):
+            for at, n in tokens.bounded(batch.column(1), SLICE_BYTES):
                 found, bounds = encoder.encode(batch.column(1).slice(at, n))
-                raw = memoryview(np.insert(found, bounds[1:], end_id).astype("<u4")).cast("B")
+                flat = np.insert(found, bounds[1:], end_id).astype("<u4")
                 sizes = np.diff(bounds) + 1
                 first = np.cumsum(sizes) - sizes
                 count = -(-sizes // capacity)
@@ -47,10 +50,17 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int =
                 head = sizes - (count - 1) * capacity  # the first piece may be shorter
                 start = np.where(piece == 0, 0, head[doc] + (piece - 1) * capacity)
                 length = np.where(piece == 0, head[doc], capacity)
-                begin = 4 * (first[doc] + start)
-                ids = [raw[b:e] for b, e in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
-                columns = [batch.column(0).slice(at, n).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.array([bytes(x) for x in ids], pa.binary())] * with_ids], names=names)
+                begin = first[doc] + start  # pieces follow each other without gaps, so one buffer holds the ids of all
+                owner = batch.column(0).slice(at, n).take(pa.array(doc))
+                for low in range(0, len(doc), BATCH_PIECES):
+                    rows = slice(low, min(len(doc), low + BATCH_PIECES))
+                    base = begin[rows.start]
+                    own = flat[base : begin[rows.stop - 1] + length[rows.stop - 1]]
+                    raw, places = memoryview(own).cast("B"), 4 * np.append(begin[rows] - base, len(own))
+                    sums = [zlib.crc32(raw[b:e]) for b, e in zip(places.tolist(), places[1:].tolist(), strict=False)]
+                    columns = [owner.slice(low, len(sums)), pa.array(piece[rows], pa.int32()), pa.array(start[rows], pa.int64()), pa.array(length[rows], pa.int64()), pa.array(sums, pa.int64())]
+                    ids = [pa.Array.from_buffers(pa.binary(), len(sums), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(own)])] if with_ids else []
+                    yield pa.RecordBatch.from_arrays([*columns, *ids], names=names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long{', ids binary' * with_ids}")
@@ -160,23 +170,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
             given[n] += count
             offset += n
         sequence += count
-    slots.sort()
-    run_first, run_rank = np.array([(r[1], r[2]) for r in sorted(runs, key=lambda r: r[1])], dtype=np.int64).reshape(-1, 2).T
-    slot = np.array(slots, dtype=np.int64).reshape(-1, 4)
-    key = (slot[:, 0] << 44) + slot[:, 1]
-    own_columns = pieces.columns
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id long, offset long"
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, length = np.asarray(batch.column("_at")), np.asarray(batch.column(length_col), dtype=np.int64)
-            run = np.searchsorted(run_first, at, side="right") - 1
-            rank = run_rank[run] + at - run_first[run]
-            mine = np.searchsorted(key, (length << 44) + rank, side="right") - 1
-            own = [batch.column(c) for c in own_columns]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(slot[mine, 2] + rank - slot[mine, 1]), pa.array(slot[mine, 3])], names=[*own_columns, "sequence_id", "offset"])
-
-    return ordered.mapInArrow(place, schema)
+    spark = pieces.sparkSession
+    # a row for each length and partition, and one for each length: capacity + partitions, and capacity rows at most
+    ranks = spark.createDataFrame([(n, first >> 33, first, rank) for n, first, rank in runs], "_length long, _partition long, _first long, _rank long")
+    by_length: dict[int, list[tuple[int, int, int]]] = {}
+    for n, rank, number, offset in sorted(slots):
+        by_length.setdefault(n, []).append((rank, number, offset))
+    places = spark.createDataFrame(list(by_length.items()), "_slot_length long, _slots array<struct<rank:long,number:long,offset:long>>")
+    own = [F.col(f"`{c}`") for c in pieces.columns]
+    placed = ordered.join(F.broadcast(ranks), (F.col(length_col) == F.col("_length")) & (F.shiftright("_at", 33) == F.col("_partition")))
+    placed = placed.join(F.broadcast(places), F.col(length_col) == F.col("_slot_length"))
+    rank = F.col("_rank") + F.col("_at") - F.col("_first")
+    placed = placed.select(*own, rank.alias("_mine"), F.element_at(F.filter("_slots", lambda s: s.rank <= rank), -1).alias("_slot"))
+    return placed.select(*own, (F.col("_slot.number") + F.col("_mine") - F.col("_slot.rank")).alias("sequence_id"), F.col("_slot.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -17,7 +17,7 @@ _MARKS = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) !
 _DOUBTFUL = r"<\||[\x01\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 _RUN = r"[ \t\n\r][ \t\n\r]"
 #: The memo is emptied when it has so many segments; longer ones aren't kept. So its memory is bounded.
-MEMO_SEGMENTS = 600_000
+MEMO_SEGMENTS = 150_000
 MEMO_CHARS = 64
 
 
