@@ -5,8 +5,8 @@ lines before and after it; transitions tie neighbouring labels. Forward and back
 A document's quality is the mean of its lines' marginals weighted by length, and a logistic curve fitted on the
 training documents turns it into a probability.
 
-The model is fitted on a bounded sample of labelled documents (``SAMPLE_DOCS``, by hash of the id), whose line features
-Spark makes. A label holds for all lines of its document. At scale: scoring is one pass without a shuffle, over Arrow
+The model is fitted on a bounded sample of labelled documents (``SAMPLE_DOCS``, by hash of the id; of one with more than
+``SAMPLE_LINES`` lines, as many from its middle), whose line features Spark makes. A label holds for all lines of its document. At scale: scoring is one pass without a shuffle, over Arrow
 batches, with vectors over all bytes and all lines of a batch; the model is about a hundred numbers in the closure.
 """
 
@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import tokens
+from marginalia.llm.shared import lean
 
 SAMPLE_DOCS = 4000
+SAMPLE_LINES = 2000
 ROUNDS = 150
 LEARNING_RATE = 0.08
 PENALTY = 2e-3
 THRESHOLD = 0.7
+SLICE_BYTES = 500_000
 
 _KINDS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", ".,;:'\"()?-", "!", "|", "#$%&*@^~", "<>{}[]=+/\\_`"]
 _OTHER = len(_KINDS)
@@ -170,7 +173,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def score(texts: pa.Array, model: dict) -> np.ndarray:
     out = np.zeros(len(texts))
     a, b = model["curve"]
-    for start, n in tokens.bounded(texts, 4_000_000):
+    for start, n in tokens.bounded(texts, SLICE_BYTES):
         out[start : start + n] = _sigmoid(a * quality(*line_features(texts.slice(start, n)), model) + b)
     return out
 
@@ -186,12 +189,15 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
     chosen = usable.orderBy(F.xxhash64("id"), "id").limit(sample_docs)
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            features, size, starts = line_features(batch.column(2))
-            raw = [features[a:b].tobytes() for a, b in zip(starts, starts[1:], strict=False)]
-            sizes = [size[a:b].astype("<i8").tobytes() for a, b in zip(starts, starts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array(sizes, pa.binary())], names=["id", "y", "features", "sizes"])
+            for at, n in tokens.bounded(batch.column(2), SLICE_BYTES):
+                features, size, starts = line_features(batch.column(2).slice(at, n))
+                spans = [(a + max(0, b - a - SAMPLE_LINES) // 2, b) for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+                raw = [features[a : min(b, a + SAMPLE_LINES)].tobytes() for a, b in spans]
+                sizes = [size[a : min(b, a + SAMPLE_LINES)].astype("<i8").tobytes() for a, b in spans]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(raw, pa.binary()), pa.array(sizes, pa.binary())], names=["id", "y", "features", "sizes"])
 
     # the sample has at most sample_docs rows of two integers, so it may be broadcast
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", F.col("y").cast("int").alias("y"), "text")
@@ -211,6 +217,7 @@ def scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     Rows with equal texts have equal scores; repeated rows and null ids are returned as they are; an empty table gives an empty result."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = score(batch.column(2), model)
@@ -223,10 +230,11 @@ def scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier doesn't reject, with all their columns."""
 
-    @F.pandas_udf("double")
-    def own(texts):
-        import pandas as pd
+    at = docs.columns.index(text_col)
 
-        return pd.Series(score(pa.array(texts, pa.string(), from_pandas=True), model))
+    @lean
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score(batch.column(at), model) >= threshold))
 
-    return docs.filter(own(F.col(text_col)) >= threshold)
+    return docs.mapInArrow(keep, docs.schema)

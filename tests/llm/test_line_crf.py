@@ -55,3 +55,21 @@ def test_no_labels_and_no_documents(spark):
     model = line_crf.fit_on(docs, none)
     assert [0 <= r.score <= 1 for r in line_crf.scores(docs, model).collect()] == [True, True]
     assert line_crf.scores(docs.limit(0), model).count() == 0
+
+
+def test_kept_rows_and_clashing_columns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = line_crf.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    odd = docs.selectExpr("*", "'a' AS id", "1 AS score", "named_struct('x', 1) AS y")
+    good = {r.doc_id for r in line_crf.scores(odd, model).filter("predicted = 1").collect()}
+    kept = line_crf.keep_good(odd, model)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == good
+    assert line_crf.keep_good(odd.limit(0), model).count() == 0
+
+
+def test_long_documents_of_the_sample_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(line_crf, "SAMPLE_LINES", 5)
+    docs = spark.createDataFrame([(i, ("a good line of words.\n" if i % 2 else "!!! $$$ ||\n") * (3 + 20 * (i % 3))) for i in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality")
+    got = {r.doc_id: r.predicted for r in line_crf.scores(docs, line_crf.fit_on(docs, labels)).collect()}
+    assert all(got[i] == i % 2 for i in range(60))
