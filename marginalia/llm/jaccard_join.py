@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import tokens
 from marginalia.llm.components import components
-from marginalia.llm.shared import Scratch
+from marginalia.llm.shared import Scratch, lean
 
 WORDS = 5
 PERCENT = 80
@@ -107,7 +107,7 @@ def ordered(found: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
     key = found >> np.uint64(1)
     if len(hot) and len(found):
         at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-        key = np.where(hot[at] == key, _HOT | (rank[at] << np.uint64(57)) | (key >> np.uint64(6)), key)
+        key = np.where(hot[at] == key, _HOT | (rank[at].astype(np.uint64) << np.uint64(57)) | (key >> np.uint64(6)), key)
     return np.sort(key)
 
 
@@ -231,6 +231,7 @@ def unit_links(names: list[int], sets: list[np.ndarray], percent: int) -> list[t
 def _frequent(rows: DataFrame, tmp: Scratch, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent elements, by hash, and how frequent they are as a power of two."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -244,7 +245,7 @@ def _frequent(rows: DataFrame, tmp: Scratch, words: int) -> tuple[np.ndarray, np
                 own = shingle_sets(pc.fill_null(batch.column(0).slice(start, n), "").to_pylist(), words)
                 held += own
                 size += sum(map(len, own))
-                if size > 2_000_000:
+                if size > HELD_KEYS:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -262,7 +263,7 @@ def _ranked(counts: list[DataFrame]) -> tuple[np.ndarray, np.ndarray]:
     at = np.lexsort((-often, found))
     found, often = found[at], often[at]
     first = np.concatenate([[True], found[1:] != found[:-1]]) if len(found) else np.zeros(0, bool)
-    return found[first], np.minimum(np.log2(np.maximum(often[first], 1)).astype(np.uint64), np.uint64(63))
+    return found[first], np.minimum(np.log2(np.maximum(often[first], 1)), 63).astype(np.uint8)
 
 
 def _crowded(rows: DataFrame, tmp: Scratch, words: int, percent: int, order) -> DataFrame:
@@ -270,6 +271,7 @@ def _crowded(rows: DataFrame, tmp: Scratch, words: int, percent: int, order) ->
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(8, int(np.ceil(np.log2(max(1, size / 30 / BUCKET_ENTRIES)))))  # about a prefix element for 30 bytes
 
+    @lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -291,6 +293,7 @@ def _crowded(rows: DataFrame, tmp: Scratch, words: int, percent: int, order) ->
         if size:
             yield flush()
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in _grouped(batches, 1):
             found, at = np.unique(_values(own, "keys", np.uint64), return_inverse=True)
@@ -427,6 +430,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def sets_of(column: pa.Array, start: int, n: int) -> list[np.ndarray]:
         return [ordered(s, *order.value) for s in shingle_sets(pc.fill_null(column.slice(start, n), "").to_pylist(), words)]
 
+    @lean
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -449,6 +453,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = (described.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 8
     bits = max(8, int(np.ceil(np.log2(max(1, entries / BUCKET_ENTRIES)))))
 
+    @lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = np.asarray(pc.binary_length(batch.column(2)), dtype=np.int64) // 8
@@ -465,6 +470,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     dealt = described.filter("prefix IS NOT NULL").select("name", "n", "prefix").mapInArrow(deal, "bucket long, keys binary, names binary, sizes binary")
 
+    @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), own in _grouped(batches, 1):
             if bucket < 0:
@@ -483,6 +489,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = met.filter("names IS NOT NULL").select("names").distinct().select(F.xxhash64("names").alias("g"), F.explode("names").alias("name"))
     groups = groups.join(sketches, "name").select("g", "name", "n", "sketch")
 
+    @lean
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
         for _, own in _grouped(batches, 1):
@@ -507,6 +514,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     asked = _maybe(rows, wanted).join(wanted.withColumnsRenamed({"id": "_id", "same": "_same"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("same") == F.col("_same")))
     columns = ["root", "name", "sets", "pivot", "text"]
 
+    @lean
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, n in tokens.bounded(batch.column(4), TEXT_BYTES):
@@ -535,6 +543,7 @@ def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(bitmap)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
 
+    @lean
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.asarray(batch.column("same")) % bits
@@ -589,6 +598,7 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _in_units(units: DataFrame, percent: int) -> DataFrame:
+    @lean
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in _grouped(batches, 3):
             names = [x for batch in own for x in batch.column("name").to_pylist()]
@@ -603,6 +613,7 @@ def _in_units(units: DataFrame, percent: int) -> DataFrame:
 def _measured(pairs: DataFrame, percent: int) -> DataFrame:
     """Each set's distance from its cluster's pivot."""
 
+    @lean
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             distance, link = [], []

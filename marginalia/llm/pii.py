@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import Scratch
+from marginalia.llm.shared import Scratch, lean
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -158,6 +158,7 @@ def _extracted(docs: DataFrame, id_col: str, text_col: str, tmp: Scratch) -> Dat
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
     candidate = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("instance", pa.int64()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, found = [], []

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import tokens
+from marginalia.llm.shared import lean
 
 CHUNK_BYTES = 16_384
 OVERLAP_BYTES = 256
@@ -100,6 +101,7 @@ def token_counts(
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = resynchroniser(model_path)
         for batch in batches:

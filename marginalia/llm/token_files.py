@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm import tokens
-from marginalia.llm.shared import Scratch
+from marginalia.llm.shared import Scratch, lean
 
 MAGIC = b"DACTOK01"
 BITS = 8
@@ -114,6 +114,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
 
+    @lean
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = tokens.encoder(tokenizer_path), TaskContext.get()
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -155,6 +156,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     based = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     tasks = max(1, 4 * spark.sparkContext.defaultParallelism)
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from functools import lru_cache
 
@@ -36,6 +37,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and threads have memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,8 +53,12 @@ class Encoder:
         """The letters, as a class of a regular expression, that every mark is parted from on both sides; and the marks."""
         alone = dict(zip([*_LETTERS, *_MARKS], (x.tolist() for x in self._library([*_LETTERS, *_MARKS])), strict=True))
         pairs = [p for c in _LETTERS for m in _MARKS for p in ((c, m), (m, c))]
-        joined = self._library([a + b for a, b in pairs])
-        bad = {c for (a, b), ids in zip(pairs, joined, strict=True) if ids.tolist() != alone[a] + alone[b] for c in (a, b) if c in alone and c.isalpha()}
+        bad = set()
+        for k in range(0, len(pairs), 2000):
+            part = pairs[k : k + 2000]
+            for (a, b), ids in zip(part, self._library([a + b for a, b in part]), strict=True):
+                if ids.tolist() != alone[a] + alone[b]:
+                    bad |= {a, b}
         return "".join(c for c in _LETTERS if c not in bad), "".join(f"\\x{ord(m):02x}" for m in _MARKS)
 
     def _forget(self) -> None:
