@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import tokens
-from marginalia.llm.shared import Scratch
+from marginalia.llm.shared import Scratch, lean
 
 CAPACITY = 1024
 SLICE_BYTES = 500_000
@@ -36,6 +36,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int =
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer_path)
         for batch in batches:
@@ -192,5 +193,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     tokens than the capacity is cut; its first piece may be shorter than the rest. An empty table gives an empty result.
     """
     tmp = Scratch(docs.sparkSession, "pieces")
-    pieces = tmp.save(pieces_of(docs, tokenizer_path, end_id, capacity, id_col, text_col, with_ids), "pieces")
-    return pack(pieces, capacity).withColumnRenamed("id", id_col)
+    pieces = pieces_of(docs, tokenizer_path, end_id, capacity, id_col, text_col, with_ids).withColumn("_row", F.monotonically_increasing_id())
+    pieces = tmp.save(pieces, "pieces")
+    placed = pack(pieces.drop("ids"), capacity)
+    if with_ids:  # ids are moved once, to their places, and not sorted
+        places = tmp.save(placed.select("_row", "sequence_id", "offset"), "places")
+        placed = pieces.join(places, "_row")
+    columns = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset"]
+    return placed.select(*columns).withColumnRenamed("id", id_col)
