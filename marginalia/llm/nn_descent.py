@@ -5,7 +5,7 @@ centre is at most half the angle of the threshold. By the triangle inequality on
 other, so a group of thousands of copies is one centre and a count. NN-descent then refines a neighbour graph of the
 centres: from the lists of several hyperplane partitions, each centre brings its neighbours and a bounded part of its
 reverse neighbours together, and pairs among them improve the lists of both. A list whose every entry is near enough to
-matter is saturated, and is doubled up to ``LONGEST`` times its first length. Rounds end when few lists change. What is
+matter is saturated, and is doubled up to ``LONGEST`` times its first length. Rounds end when few entries near enough to matter are new. What is
 saturated then takes no part in the lists: the points of such balls are compared with all points, block by block, which
 counts their links and passes on only as many pairs as connect the same balls.
 
@@ -26,11 +26,11 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.components import components
-from marginalia.llm.shared import Scratch
+from marginalia.llm.shared import Scratch, lean
 
 THRESHOLD = 0.9
 LEAF = 512
@@ -71,6 +71,7 @@ def _out(names: list[str], kinds: list[pa.DataType]) -> Callable[[list[tuple]],
 def _prepared(vectors: DataFrame, id_col: str, vector_col: str, tmp: Scratch) -> DataFrame:
     """u (number of the row), id, v (unit vector in doubles; null if it can't be compared), dim."""
 
+    @lean
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, dims = [], []
@@ -94,6 +95,7 @@ def _bucketed(rows: DataFrame, tree: int, bits: int, tmp: Scratch, name: str) ->
     columns = rows.columns
     schema = rows.schema
 
+    @lean
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = np.zeros(batch.num_rows, np.int64)
@@ -115,6 +117,7 @@ def _balls(rows: DataFrame, bits: int, radius: float, tmp: Scratch) -> DataFrame
     least = np.cos(radius)
     out = _out(["u", "ball", "angle"], [pa.int64(), pa.int64(), pa.float64()])
 
+    @lean
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in _by_key(batches, 3):
             x, u = _vectors([r[4] for r in own]), np.array([r[3] for r in own])
@@ -137,26 +140,29 @@ _EDGE = "u long, w long, cosine double, near boolean"
 _EDGE_OUT = _out(["u", "w", "cosine", "near"], [pa.int64(), pa.int64(), pa.float64(), pa.bool_()])
 
 
-def _best_pairs(u: np.ndarray, x: np.ndarray, r: np.ndarray, theta: float, best: int) -> list[tuple]:
-    """For each, its best others and all that are near enough to matter."""
+def _best_pairs(u: np.ndarray, x: np.ndarray, r: np.ndarray, theta: float, best: int, longest: int) -> list[tuple]:
+    """For each, its best others, and up to ``longest`` of those that are near enough to matter, the nearest first: no list holds more."""
     cosine = x @ x.T
     near = _angle(cosine) <= theta + r[:, None] + r[None, :] + _SAFE
     np.fill_diagonal(cosine, -2)
     np.fill_diagonal(near, False)
-    keep = near.copy()
-    k = min(best, len(u) - 1)
-    if k > 0:
-        top = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        np.put_along_axis(keep, top, True, axis=1)
-        np.fill_diagonal(keep, False)
-    a, b = np.nonzero(keep)
+    most = min(max(best, min(longest, int(near.sum(axis=1).max(initial=0)))), len(u) - 1)
+    if most <= 0:
+        return []
+    value = cosine + 4.0 * near
+    top = np.argpartition(-value, most - 1, axis=1)[:, :most]
+    order = np.argsort(-np.take_along_axis(value, top, axis=1), axis=1, kind="stable")
+    top = np.take_along_axis(top, order, axis=1)
+    keep = np.take_along_axis(near, top, axis=1) | (np.arange(most) < best)
+    a, b = np.repeat(np.arange(len(u)), keep.sum(axis=1)), top[keep]
     return list(zip(u[a].tolist(), u[b].tolist(), cosine[a, b].tolist(), near[a, b].tolist(), strict=True))
 
 
-def _initial(centres: DataFrame, bits: int, theta: float, k: int, tmp: Scratch, name: str) -> DataFrame:
+def _initial(centres: DataFrame, bits: int, theta: float, k: int, longest: int, tmp: Scratch, name: str) -> DataFrame:
+    @lean
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in _by_key(batches, 3):
-            rows = _best_pairs(np.array([r[3] for r in own]), _vectors([r[4] for r in own]), np.array([r[5] for r in own]), theta, k)
+            rows = _best_pairs(np.array([r[3] for r in own]), _vectors([r[4] for r in own]), np.array([r[5] for r in own]), theta, k, longest)
             if rows:
                 yield _EDGE_OUT(rows)
 
@@ -168,11 +174,12 @@ def _initial(centres: DataFrame, bits: int, theta: float, k: int, tmp: Scratch,
     return edges
 
 
-def _lists(edges: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Per centre its best k edges: u, k, list."""
+def _lists(edges: DataFrame, sizes: DataFrame, longest: int) -> DataFrame:
+    """Per centre its best k edges: u, k, list. Each task passes on ``longest`` edges of a centre at most, so a hub isn't gathered."""
     # those that are near enough to matter come first, so that a list that lacks one is full of them
-    entry = F.struct(F.col("near"), F.col("cosine"), F.col("w"))
-    found = edges.groupBy("u").agg(F.sort_array(F.collect_set(entry), asc=False).alias("list"))
+    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("near"), F.desc("cosine"), F.desc("w")))
+    best = edges.withColumn("rank", rank).filter(F.col("rank") <= longest)
+    found = best.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("near", "cosine", "w")), asc=False).alias("list"))
     return found.join(sizes, "u").select("u", "k", F.slice("list", 1, F.col("k")).alias("list"))
 
 
@@ -188,33 +195,36 @@ def _refined(lists: DataFrame, centres: DataFrame, theta: float, longest: int, t
     pairs = tmp.save(ahead.select("u", "w").union(back).union(lists.select("u", F.col("u").alias("w"))).distinct(), f"{name}-pairs")
     met = pairs.join(centres.select(F.col("u").alias("w"), "v", "r"), "w").select("u", "w", "v", "r")
 
+    @lean
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in _by_key(batches, 1):
             x = [np.frombuffer(r[2], np.float64) for r in own]
-            if len(own) > 1:
-                yield _EDGE_OUT(_best_pairs(np.array([r[1] for r in own]), np.stack(x), np.array([r[3] for r in own]), theta, BEST))
+            if len(own) > 1:  # a centre and one other at least, so each has a best
+                yield _EDGE_OUT(_best_pairs(np.array([r[1] for r in own]), np.stack(x), np.array([r[3] for r in own]), theta, BEST, longest))
 
     new = met.repartition("u").sortWithinPartitions("u").mapInArrow(join, _EDGE)
     new = new.groupBy("u", "w").agg(F.max("cosine").alias("cosine"), F.max("near").alias("near"))
     sizes = lists.select("u", F.when(_saturated() & (F.col("k") < longest), F.col("k") * 2).otherwise(F.col("k")).alias("k"))
     # the same pair's cosine may differ in its last bits between products, so an edge is told by its ends
     edges = ahead.union(new.select("u", "w", "cosine", "near")).groupBy("u", "w").agg(F.max("cosine").alias("cosine"), F.max("near").alias("near"))
-    out = tmp.save(_lists(edges, sizes), f"{name}-lists")
+    out = tmp.save(_lists(edges, sizes, longest), f"{name}-lists")
     tmp.drop(f"{name}-pairs")
     return out
 
 
 def _graph(centres: DataFrame, bits: int, theta: float, tmp: Scratch, k: int, longest: int, name: str) -> DataFrame:
     start = centres.select("u", F.lit(k).alias("k"))
-    edges = _initial(centres, bits, theta, k, tmp, name).groupBy("u", "w").agg(F.max("cosine").alias("cosine"), F.max("near").alias("near"))
-    lists = tmp.save(_lists(edges, start), f"{name}-0-lists")
-    size = max(1, lists.count())
+    edges = _initial(centres, bits, theta, k, longest, tmp, name).groupBy("u", "w").agg(F.max("cosine").alias("cosine"), F.max("near").alias("near"))
+    lists = tmp.save(_lists(edges, start, longest), f"{name}-0-lists")
     for i in range(1, ROUNDS + 1):
         after = _refined(lists, centres, theta, longest, tmp, f"{name}-{i}")
-        old, new = (x.select("u", F.col("k").alias(f"{c}k"), F.transform("list", lambda e: e.w).alias(c)) for x, c in ((lists, "old"), (after, "new")))
-        changed = new.join(old, "u", "left").agg(F.sum(F.size(F.array_except("new", F.coalesce("old", F.array().cast("array<long>"))))).alias("n"), F.sum((F.col("newk") > F.col("oldk")).cast("int")).alias("grown")).first()
+        # only entries that are near enough to matter become links
+        old, new = (x.select("u", F.col("k").alias(f"{c}k"), F.transform(F.filter("list", lambda e: e.near), lambda e: e.w).alias(c)) for x, c in ((lists, "old"), (after, "new")))
+        changed = new.join(old, "u", "left").agg(
+            F.sum(F.size(F.array_except("new", F.coalesce("old", F.array().cast("array<long>"))))).alias("n"), F.sum(F.size("new")).alias("near"), F.sum((F.col("newk") > F.col("oldk")).cast("int")).alias("grown")
+        ).first()
         lists = after
-        if (changed.n or 0) <= CHANGED * size * k and not changed.grown:
+        if (changed.n or 0) <= CHANGED * (changed.near or 0) and not changed.grown:
             break
     return lists
 
@@ -236,6 +246,7 @@ def _resolved(pairs: DataFrame, balls: DataFrame, vectors: DataFrame, centres: D
     some = wide.filter("state = 'some'").select("i", "j", "rj", "nj")
     asked = members.join(some, "i").join(vectors.select("u", "v"), "u").join(centres.select(F.col("u").alias("j"), F.col("v").alias("center")), "j")
 
+    @lean
     def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cosine = np.array([np.dot(np.frombuffer(a, np.float64), np.frombuffer(b, np.float64)) for a, b in zip(batch.column("v").to_pylist(), batch.column("center").to_pylist(), strict=True)])
@@ -249,9 +260,11 @@ def _resolved(pairs: DataFrame, balls: DataFrame, vectors: DataFrame, centres: D
 
     open_ = asked.filter("state = 1").select("u", "i", "j").join(vectors.select("u", F.col("v").alias("x")), "u")
     there = balls.join(open_.select(F.col("j").alias("ball")).distinct(), "ball", "left_semi").join(vectors.select("u", "v", "copies"), "u")
-    there = there.withColumn("chunk", F.pmod(F.xxhash64("u"), F.lit(64)))
+    chunks = balls.groupBy("ball").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET)).alias("chunks"))
+    there = there.join(chunks, "ball").withColumn("chunk", F.pmod(F.xxhash64("u"), F.col("chunks")))
     chunks = there.groupBy("ball", "chunk").agg(F.collect_list(F.struct("v", "copies")).alias("p")).select("ball", F.col("p.v").alias("vs"), F.col("p.copies").alias("copies")).withColumnRenamed("ball", "j")
 
+    @lean
     def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = zip(*(batch.column(c).to_pylist() for c in ("x", "vs", "copies")), strict=True)
@@ -308,6 +321,7 @@ def _block(own: list, threshold: float, connect: bool = True) -> Callable[[Itera
         by_dim[d] = (np.array([q.u for q in of]), np.array([q.ball for q in of]), _vectors([q.v for q in of]), np.array([q.copies for q in of], np.float64))
     out = _out(["u", "n", "a", "b"], [pa.int64()] * 4)
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {d: np.zeros(len(q[0])) for d, q in by_dim.items()}
         root: dict[int, int] = {}
