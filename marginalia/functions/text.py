@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def _marked_letters() -> tuple[str, str]:
-    """Latin letters with marks, and what is left of each without them."""
+    """Characters whose compatibility decomposition is one ASCII character and marks, and that character."""
     pairs = []
-    for code in range(0xC0, 0x250):
+    for code in range(0xA0, 0x10000):
         base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
         if len(base) == 1 and base.isascii():
             pairs.append((chr(code), base))
@@ -20,12 +20,16 @@ def _marked_letters() -> tuple[str, str]:
 
 _MARKED, _PLAIN = _marked_letters()
 #: Ligatures and typographic quotes, and what they stand for.
-_EXPANSIONS = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "‘": "'", "’": "'", "“": '"', "”": '"'}
+_EXPANSIONS = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "‘": "'", "’": "'", "“": '"', "”": '"'}
+_LIGATURES = [c for c in _EXPANSIONS if _EXPANSIONS[c].isalpha()]
 SLUG_CHARS = 200
 
 
 def plain_letters(c: Column) -> Column:
-    return F.translate(c, _MARKED, _PLAIN)
+    """Letters without their marks, whether composed or followed by combining ones; ligatures as letters."""
+    for old in _LIGATURES:
+        c = F.replace(c, F.lit(old), F.lit(_EXPANSIONS[old]))
+    return F.regexp_replace(F.translate(c, _MARKED, _PLAIN), "[\\x{300}-\\x{36F}]", "")
 
 
 def tidy(c: Column) -> Column:
@@ -33,6 +37,10 @@ def tidy(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def tidy_ends(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def normal_key(c: Column) -> Column:
     """Lower-case words of letters and digits, single spaces between."""
     return F.trim(F.regexp_replace(F.lower(plain_letters(c)), "[^a-z0-9]+", " "))
@@ -77,14 +85,18 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"\S+")).cast("long")
 
 
+def lines_of(c: Column) -> Column:
+    return F.split(F.coalesce(c, F.lit("")), "\r?\n")
+
+
 def is_folio(line: Column) -> Column:
-    """A line that is a page number only, maybe between bars or dashes."""
-    return F.trim(line).rlike(r"^[|\-\s]*\d{1,4}[|\-\s]*$")
+    """A line that is a page number only."""
+    return line.rlike(r"(?U)^\s*[0-9]{1,3}\s*$")
 
 
 def furniture_key(line: Column) -> Column:
-    """What is equal in running heads of different pages: digits gone, white space single, lower case."""
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, "[0-9]+", ""), r"\s+", " ")))
+    """What is equal in running heads of different pages: white space single, lower case."""
+    return F.lower(tidy(line))
 
 
 def small_number(c: Column) -> Column:
@@ -98,16 +110,41 @@ def first_line(c: Column) -> Column:
 
 
 def standfirst(text: Column, least: int = 60, lines: int = 4, floor: int = 120, cut: int = 420, early: int = 140) -> Column:
-    """A summary from the first lines of prose: long ones, mostly letters; cut after the last sentence that fits. Null if there is too little."""
-    prose = F.filter(
-        F.split(F.coalesce(text, F.lit("")), "\n"),
-        lambda x: (F.length(x) > least) & (F.regexp_count(x, F.lit("[A-Za-z]")) * 10 >= F.length(x) * 7),
-    )
+    """A summary from the first lines of prose: long ones that begin like a sentence and have a word in lower case. It ends with the last
+    sentence that ends in the first characters, else with an ellipsis. Null if there is too little, or too few letters."""
+    prose = F.filter(F.transform(lines_of(text), tidy), lambda x: (F.length(x) > least) & x.rlike("^[A-Z\"'(]") & x.rlike("[a-z]{4}"))
     joined = F.array_join(F.slice(prose, 1, lines), " ")
     head = F.substring(joined, 1, cut)
-    stop = F.length(head) - F.instr(F.reverse(head), " .")  # place of the last full stop before a space
-    short = F.when(F.length(joined) <= cut, joined).when((F.instr(F.reverse(head), " .") > 0) & (stop > early), F.substring(head, F.lit(1), stop)).otherwise(head)
-    return F.when(F.length(joined) >= floor, short)
+    at = F.instr(F.reverse(head), " .")
+    stop = F.length(head) - at  # characters up to the last full stop before a space, with it
+    short = F.when((at > 0) & (stop - 1 > early), F.substring(head, F.lit(1), stop)).otherwise(F.concat(F.trim(head), F.lit("…")))
+    return F.when((F.length(joined) >= floor) & (F.regexp_count(short, F.lit("[A-Za-z]")) * 10 >= F.length(short) * 7), F.trim(short))
+
+
+def contained_key(c: Column) -> Column:
+    """Lower-case letters and digits only; an ampersand is the word and."""
+    return F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit("and")), "[^a-z0-9]+", "")
+
+
+def agree(a: Column, b: Column, share: float = 0.34, longer_than: int = 3) -> Column:
+    """Whether two titles have so large a share of the longer words of the one with fewer in common; true if either has none."""
+    x, y = (F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) > longer_than)) for c in (a, b))
+    least = F.least(F.size(x), F.size(y))
+    return (least == 0) | (F.size(F.array_intersect(x, y)) >= F.lit(share) * least)
+
+
+def chosen_title(front: Column, contents: Column, confident: Column, usable) -> Column:
+    """title, source, needs_review: the headline of the opening page if it is certain, else the contents entry, else the uncertain headline.
+    ``usable`` is the test of a title that both must pass. A certain headline that disagrees with the contents needs review."""
+    front, contents = (F.nullif(tidy(c), F.lit("")) for c in (front, contents))
+    good, listed = (F.coalesce(usable(c), F.lit(False)) & c.isNotNull() for c in (front, contents))
+    result = lambda title, source, review: F.struct(title.alias("title"), F.lit(source).alias("source"), review.alias("needs_review"))
+    return (
+        F.when(good & F.coalesce(confident, F.lit(False)), result(front, "front page", listed & ~agree(front, contents)))
+        .when(listed, result(contents, "contents", F.lit(False)))
+        .when(good, result(front, "front page (unverified)", F.lit(True)))
+        .otherwise(result(F.lit(None).cast("string"), "none", F.lit(True)))
+    )
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -8,13 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import decode_entities, tidy, word_count
-
-#: Block types and the text fields whose words count.
-TEXT_FIELDS = {
-    "heading": ["text"], "paragraph": ["text"], "image": ["caption"], "quote": ["text", "attribution"], "callout": ["title", "text"],
-    "table": ["caption"], "figure": ["caption"], "list": [], "formula": ["expression", "note"], "reference": [],
+from marginalia.functions.text import decode_entities, tidy, tidy_ends, word_count
+
+#: Block types, styles of lists, the longest optional texts, and the fields whose words count.
+BLOCK_TYPES = ["heading", "paragraph", "image", "quote", "callout", "table", "figure", "list", "formula", "reference"]
+LIST_STYLES = ["ordered", "unordered", "roman", "letter"]
+LONGEST = {
+    ("image", "caption"): 500, ("image", "altText"): 300, ("quote", "attribution"): 200, ("callout", "title"): 200, ("table", "caption"): 300,
+    ("figure", "caption"): 500, ("figure", "source"): 300, ("formula", "note"): 300,
 }
+WORD_FIELDS = ["text", "title", "caption", "attribution", "note", "expression"]
 _UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 WORDS_A_MINUTE = 200
 
@@ -27,38 +30,43 @@ def block_errors() -> Column:
     """The list of what is wrong with a block; empty if nothing is."""
     kind = F.col("block_type")
 
-    def blank(name: str) -> Column:
-        return F.coalesce(F.trim(_field(name)), F.lit("")) == ""
-
+    no = F.lit(False)
+    blank = lambda c: F.coalesce(c, F.lit("")).rlike(r"(?U)^\s*$")
     items = F.from_json(_field("items"), "array<string>")
     cites = F.from_json(_field("items"), "array<struct<label:string,url:string>>")
     columns, rows = F.from_json(_field("columns"), "array<string>"), F.from_json(_field("rows"), "array<array<string>>")
     level = _field("level").try_cast("int")
+    few = lambda c: F.coalesce(F.size(c), F.lit(0)) < 1
     rules = [
-        (kind.isNull() | ~kind.isin(list(TEXT_FIELDS)), "type: unknown"),
-        (kind.isin("heading", "paragraph", "quote", "callout") & blank("text"), "text: required"),
-        ((kind == "heading") & ~F.coalesce(level.between(1, 6), F.lit(False)), "level: out of range"),
-        (kind.isin("image", "figure") & ~F.coalesce(_field("mediaId").rlike(_UUID), F.lit(False)), "mediaId: not a uuid"),
-        ((kind == "formula") & blank("expression"), "expression: required"),
-        ((kind == "list") & ~F.coalesce(_field("style").isin("ordered", "unordered"), F.lit(False)), "style: unknown"),
-        ((kind == "list") & (F.coalesce(F.size(items), F.lit(0)) < 1), "items: required"),
-        ((kind == "reference") & (F.coalesce(F.size(cites), F.lit(0)) < 1), "items: required"),
-        ((kind == "reference") & F.coalesce(F.exists(cites, lambda x: x.url.isNotNull() & ~x.url.rlike("^https?://[^\\s/]+")), F.lit(False)), "items.url: not a URL"),
-        ((kind == "table") & (F.coalesce(F.size(columns), F.lit(0)) < 1), "columns: required"),
-        ((kind == "table") & F.coalesce(F.exists(rows, lambda r: F.size(r) != F.size(columns)), F.lit(False)), "rows: another width"),
+        (kind.isNull() | ~kind.isin(BLOCK_TYPES), "type: unknown"),
+        (kind.isin("heading", "paragraph", "quote", "callout") & blank(_field("text")), "text: required"),
+        ((kind == "heading") & ~F.coalesce(level.between(1, 6), no), "level: out of range"),
+        (kind.isin("image", "figure") & ~F.coalesce(_field("mediaId").rlike(_UUID), no), "mediaId: not a uuid"),
+        ((kind == "formula") & blank(_field("expression")), "expression: required"),
+        ((kind == "list") & ~F.coalesce(_field("style").isin(LIST_STYLES), no), "style: unknown"),
+        (kind.isin("list", "reference") & few(F.from_json(_field("items"), "array<string>")), "items: required"),
+        ((kind == "list") & F.coalesce(F.exists(items, blank), no), "items: blank"),
+        ((kind == "reference") & F.coalesce(F.exists(cites, lambda x: blank(x.label)), no), "items.label: required"),
+        ((kind == "reference") & F.coalesce(F.exists(cites, lambda x: x.url.isNotNull() & ~x.url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:\\S+$")), no), "items.url: not a URL"),
+        ((kind == "table") & few(columns), "columns: required"),
+        ((kind == "table") & F.coalesce(F.exists(columns, blank), no), "columns: blank"),
+        ((kind == "table") & few(rows), "rows: required"),
+        ((kind == "table") & F.coalesce(F.exists(rows, lambda r: F.size(r) != F.size(columns)), no), "rows: another width"),
+        *(((kind == k) & F.coalesce(F.length(tidy_ends(_field(name))) > most, no), f"{name}: too long") for (k, name), most in LONGEST.items()),
     ]
     return F.array_compact(F.array(*(F.when(wrong, F.lit(message)) for wrong, message in rules)))
 
 
 def block_words() -> Column:
-    """Words of a block's text fields, list items, and cells."""
+    """Words of a block's texts, list items, labels of references, and cells, whatever its type."""
     out = F.lit(0).cast("long")
-    for kind, fields in TEXT_FIELDS.items():
-        for name in fields:
-            out = out + F.when(F.col("block_type") == kind, word_count(_field(name))).otherwise(0)
-    lists = F.array_join(F.from_json(_field("items"), "array<string>"), " ")
-    cells = F.array_join(F.concat(F.coalesce(F.from_json(_field("columns"), "array<string>"), F.array()), F.flatten(F.coalesce(F.from_json(_field("rows"), "array<array<string>>"), F.array()))), " ")
-    return out + F.when(F.col("block_type") == "list", word_count(lists)).when(F.col("block_type") == "table", word_count(cells)).otherwise(0)
+    for name in WORD_FIELDS:
+        out = out + word_count(_field(name))
+    items = F.transform(F.from_json(_field("items"), "array<string>"), lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.label")).otherwise(x))
+    rows = F.flatten(F.from_json(_field("rows"), "array<array<string>>"))
+    for each in (items, F.from_json(_field("columns"), "array<string>"), rows):
+        out = out + word_count(F.array_join(each, " "))
+    return out
 
 
 def reading_minutes(words: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -12,25 +12,26 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as T
 
 EDGE_LINES = 3
+LEAST_CHARS = 4
 TITLE_POINTS, BODY_MOST, BODY_CHARS = 12, 3, 4000
 LEAST_SCORE, LEAST_LEAD = 12, 2
 
 
 def furniture(pages: DataFrame, issue: str, page: str, text: str, least: int = 3, share: float = 0.25) -> DataFrame:
-    """issue, line, pages: lines among the first or last three non-blank ones of at least a quarter of an issue's pages."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    """issue, line, pages: lines among the first or last three non-blank ones of at least a quarter of an issue's pages, three at least.
+    Page numbers and lines of fewer than four characters are none."""
+    lines = F.filter(T.lines_of(F.col(text)), lambda x: T.tidy(x) != "")
     edges = F.concat(F.slice(lines, 1, EDGE_LINES), F.when(F.size(lines) > EDGE_LINES, F.slice(F.reverse(lines), 1, EDGE_LINES)).otherwise(F.array().cast("array<string>")))
-    each = pages.select(issue, page, F.explode(F.array_distinct(F.transform(edges, T.furniture_key))).alias("line")).filter("line <> ''")
+    each = pages.select(issue, page, F.explode(F.array_distinct(F.transform(edges, T.furniture_key))).alias("line")).filter((F.length("line") >= LEAST_CHARS) & ~T.is_folio(F.col("line")))
     counts = each.distinct().groupBy(issue, "line").agg(F.count(F.lit(1)).alias("pages"))
     sizes = pages.groupBy(issue).agg(F.countDistinct(page).alias("_all"))
     return counts.join(sizes, issue).filter(F.col("pages") >= F.greatest(F.lit(least), F.ceil(F.col("_all") * F.lit(share)))).select(issue, "line", F.col("pages").cast("long").alias("pages"))
 
 
 def strip_furniture(pages: DataFrame, found: DataFrame, issue: str, page: str, text: str) -> DataFrame:
-    """issue, page, text without page numbers and furniture among the first and last three raw lines; three and more line feeds become two.
+    """issue, page, text without page numbers and furniture among the first and last three raw lines; three and more line feeds become two, and the ends are trimmed.
     A page's edge lines are joined to the furniture by issue and line, so no list of an issue's furniture is gathered."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    rows = pages.select(issue, page, lines.alias("_lines"))
+    rows = pages.select(issue, page, T.lines_of(F.col(text)).alias("_lines"))
     edges = F.concat(F.slice("_lines", 1, EDGE_LINES), F.slice(F.reverse("_lines"), 1, EDGE_LINES))
     each = rows.select(issue, page, F.explode(F.array_distinct(F.transform(edges, T.furniture_key))).alias("line"))
     known = each.join(found.select(issue, "line"), [issue, "line"]).groupBy(F.col(issue).alias("_issue"), F.col(page).alias("_page")).agg(F.collect_set("line").alias("_known"))
@@ -38,7 +39,7 @@ def strip_furniture(pages: DataFrame, found: DataFrame, issue: str, page: str, t
     at_edge = lambda i: (i < EDGE_LINES) | (i >= F.size("_lines") - EDGE_LINES)
     gone = lambda x: T.is_folio(x) | F.coalesce(F.array_contains("_known", T.furniture_key(x)), F.lit(False))
     kept = F.filter("_lines", lambda x, i: ~(at_edge(i) & gone(x)))
-    return rows.select(issue, page, F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n").alias(text))
+    return rows.select(issue, page, T.tidy_ends(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n")).alias(text))
 
 
 def clean_pages(pages: DataFrame, issue: str, page: str, text: str) -> DataFrame:
@@ -80,15 +81,50 @@ def classify(docs: DataFrame, title: Column, body: Column, keywords: dict[str, S
 
 
 def unique_slugs(df: DataFrame, name: str, key: str) -> DataFrame:
-    """The rows with a slug of their own: the first by key has the plain one, others -2, -3 and so on; empty names are "item".
+    """The rows with a slug of their own: in the order of the key, each takes its plain one or, while that is taken, -2, -3 and so on; empty names are "item".
 
-    A suffixed slug can equal a plain one of another row. Those are told apart by the key, which ends every repetition.
+    A numbered slug can equal the plain one of another row only within a family, the names that differ by numbers at their ends. Families
+    without a plain slug that ends in a number are numbered by a window. Those with one are few; their rows pass in order through one
+    task each as a stream, which keeps the family's taken slugs.
     """
     root = F.coalesce(F.nullif(T.slug(F.col(name)), F.lit("")), F.lit("item"))
-    first = df.withColumn("_root", root).withColumn("_n", F.row_number().over(Window.partitionBy("_root").orderBy(key)))
-    tried = first.withColumn("slug", F.when(F.col("_n") == 1, F.col("_root")).otherwise(F.concat("_root", F.lit("-"), F.col("_n").cast("string"))))
-    again = F.row_number().over(Window.partitionBy("slug").orderBy("_n", key))
-    return tried.withColumn("_again", again).withColumn("slug", F.when(F.col("_again") > 1, F.concat("slug", F.lit("-"), F.col(key).cast("string"))).otherwise(F.col("slug"))).drop("_root", "_n", "_again")
+    family = F.regexp_replace("_root", "(-[0-9]+)+$", "")
+    rows = df.select(F.col(key).alias("_key"), root.alias("_root")).withColumn("_family", family)
+    numbered = rows.filter("_root <> _family").select("_family").distinct()
+    n = F.row_number().over(Window.partitionBy("_root").orderBy("_key"))
+    plain = rows.join(numbered, "_family", "left_anti").select("_key", F.when(n == 1, F.col("_root")).otherwise(F.concat("_root", F.lit("-"), n.cast("string"))).alias("slug"))
+    mixed = rows.join(numbered, "_family", "left_semi").select("_family", "_key", "_root")
+
+    def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine, taken, following = None, set(), {}
+        for batch in batches:
+            out = []
+            for of, own in zip(batch["_family"], batch["_root"], strict=True):
+                if of != mine:
+                    mine, taken, following = of, set(), {}
+                slug = own
+                while slug in taken:  # what was taken once stays so, so each root goes on from its last number
+                    following[own] = following.get(own, 1) + 1
+                    slug = f"{own}-{following[own]}"
+                taken.add(slug)
+                out.append(slug)
+            yield pd.DataFrame({"_key": batch["_key"], "slug": out})
+
+    kind = rows.schema["_key"].dataType.simpleString()
+    given = mixed.repartition("_family").sortWithinPartitions("_family", "_key").mapInPandas(give, f"_key {kind}, slug string")
+    return df.join(plain.union(given), F.col(key) == F.col("_key")).drop("_key")
+
+
+def match_names(rows: DataFrame, name: str, live: DataFrame, live_name: str, live_key: str) -> DataFrame:
+    """The rows with the first live entry (by key) of the same name but for case, punctuation and white space; others have null."""
+    first = live.groupBy(T.contained_key(F.col(live_name)).alias("_of")).agg(F.min(live_key).alias(live_key)).filter("_of <> ''")
+    return rows.join(first, T.contained_key(F.col(name)) == F.col("_of"), "left").drop("_of")
+
+
+def section_changes(df: DataFrame, key: str, order: str, label: str) -> DataFrame:
+    """The rows whose label isn't that of the last labelled row before: a section begins there."""
+    before = F.last(label, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn("_before", before).filter(F.col(label).isNotNull() & (F.col(label) != "") & ~F.col(label).eqNullSafe(F.col("_before"))).drop("_before")
 
 
 def islands(df: DataFrame, key: str, order: str, same: str) -> DataFrame:

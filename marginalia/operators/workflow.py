@@ -25,24 +25,36 @@ def step(state: tuple, command: str) -> tuple[tuple, str]:
     if status is None:
         return state, "NOT_FOUND"
     follow = lambda new: status if published else new  # noqa: E731  a published article keeps its status while a revision moves
+    moved = lambda new: ((follow(new), versions, published, new), "")
+    # fixed values: the codes of refusals
+    if command in ("submit", "withdraw") and draft is None:
+        return state, "NO_EDITABLE_VERSION"
+    if command in ("approve", "reject") and draft is None:
+        return state, "NO_PENDING_VERSION"
+    if command in ("withdraw", "approve", "reject") and draft != PENDING:
+        return state, "NOT_PENDING_REVIEW"
+    if command in ("revise", "edit_published", "unpublish") and status != PUBLISHED:
+        return state, "NOT_PUBLISHED"
+    if command in ("revise", "edit_published") and draft is not None:
+        return state, "REVISION_IN_PROGRESS"
     if command == "submit":
-        return ((follow(PENDING), versions, published, PENDING), "") if draft in (DRAFT, REJECTED) else (state, "INVALID_STATE")
+        return (state, "ALREADY_SUBMITTED") if draft == PENDING else moved(PENDING)
     if command == "withdraw":
-        return ((follow(DRAFT), versions, published, DRAFT), "") if draft == PENDING else (state, "INVALID_STATE")
-    if command == "approve":
-        return ((PUBLISHED, versions, versions, None), "") if draft == PENDING else (state, "INVALID_STATE")
+        return moved(DRAFT)
     if command == "reject":
-        return ((follow(REJECTED), versions, published, REJECTED), "") if draft == PENDING else (state, "INVALID_STATE")
+        return moved(REJECTED)
+    if command == "approve":
+        return (PUBLISHED, versions, versions, None), ""
     if command == "revise":
-        return ((status, versions + 1, published, DRAFT), "") if published and draft is None else (state, "INVALID_STATE")
+        return (status, versions + 1, published, DRAFT), ""
     if command == "edit_published":
-        return ((PUBLISHED, versions + 1, versions + 1, None), "") if published and draft is None else (state, "INVALID_STATE")
+        return (PUBLISHED, versions + 1, versions + 1, None), ""
     if command == "unpublish":
-        return ((UNPUBLISHED, versions, published, draft), "") if status == PUBLISHED else (state, "INVALID_STATE")
+        return (UNPUBLISHED, versions, published, draft), ""
     if command == "archive":
-        return ((ARCHIVED, versions, published, draft), "") if status in (PUBLISHED, UNPUBLISHED) else (state, "INVALID_STATE")
+        return ((ARCHIVED, versions, published, draft), "") if status in (PUBLISHED, UNPUBLISHED) else (state, "NOT_ARCHIVABLE")
     if command == "delete":
-        return (FRESH, "") if not published else (state, "INVALID_STATE")
+        return (FRESH, "") if status == DRAFT and not published else (state, "ARTICLE_NOT_DELETABLE")
     return state, "UNKNOWN_COMMAND"
 
 
