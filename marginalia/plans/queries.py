@@ -7,8 +7,6 @@ searchable texts, events reads, comments and hits.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,36 +17,16 @@ from marginalia.operators import pages as P
 from marginalia.operators import relational as R
 from marginalia.operators import search as S
 from marginalia.operators import workflow as W
+from marginalia.plans import editorial  # noqa: F401 (registers its queries)
+from marginalia.plans.registry import oracle_sql, queries, query  # noqa: F401
 from marginalia.sources.tables import table
 from marginalia.streaming import stateful as Z
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
 SEARCH = 'thon or thth "of the" -worthless'
 KEYWORDS = {"alpha": ["thon", "ther", "tion"], "beta": ["ung", "keit", "sch"], "gamma": ["eau", "ment", "que"]}
 HOUR_US = 3_600_000_000
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 def _published(spark: SparkSession, d: str) -> DataFrame:
     return R.where_given(table(spark, d, "orders"), o_orderstatus="F")
 
