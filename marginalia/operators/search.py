@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights of fields of the classes A to D, times ten, so that scores are whole numbers.
@@ -97,6 +97,12 @@ def ranked(docs: DataFrame, fields: dict[str, tuple[Column, str]], text: str, ke
     return out.drop(*(f"_w_{n}" for n in fields)).orderBy(F.desc("score"), key).limit(limit)
 
 
+def hydrated(found: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """The rows of the documents found, with their score and place. Only what ``ranked`` left, limit rows at most, is numbered."""
+    placed = found.select(key, "score").withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), key)).cast("long"))
+    return docs.join(placed, key)
+
+
 def snippet(text: Column, query: Query, before: int = 8, most: int = 40) -> Column:
     """So many words around the first one that the query has, hits in <b>; the first words if it has none."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")

@@ -17,7 +17,7 @@ from marginalia.operators import pages as P
 from marginalia.operators import relational as R
 from marginalia.operators import search as S
 from marginalia.operators import workflow as W
-from marginalia.plans import editorial  # noqa: F401 (registers its queries)
+from marginalia.plans import editorial, issues  # noqa: F401 (register their queries)
 from marginalia.plans.registry import oracle_sql, queries, query  # noqa: F401
 from marginalia.sources.tables import table
 from marginalia.streaming import stateful as Z
@@ -267,6 +267,17 @@ def search_ranked(spark: SparkSession, d: str) -> DataFrame:
     return S.ranked(_searchable(spark, d), _fields(), SEARCH, "doc_id").select("doc_id", "score")
 
 
+@query(_WORDS_SQL + """
+    , t AS (SELECT doc_id, score FROM s JOIN documents USING (doc_id) WHERE lang = 'en' AND source IN (SELECT source FROM documents GROUP BY source HAVING count(*) >= 10) ORDER BY score DESC, doc_id LIMIT 20)
+    SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS place, doc_id, score, source, length(d.text) AS chars FROM t JOIN documents d USING (doc_id)""")
+def search_hydrated(spark: SparkSession, d: str) -> DataFrame:
+    """The best 20 in one language and in sources that ten documents have, with their rows, in the order of their ranks: a top-k report."""
+    docs = table(spark, d, "documents")
+    large = docs.groupBy("source").count().filter("count >= 10").select("source")
+    found = S.ranked(R.having(R.where_given(_searchable(spark, d), lang="en"), large, ["source"]), _fields(), SEARCH, "doc_id")
+    return S.hydrated(found, docs, "doc_id").select("place", "doc_id", "score", "source", F.length("text").cast("long").alias("chars"))
+
+
 @query("""
     WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
     h AS (SELECT doc_id, w, list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g') IN ('thon', 'thth', 'of', 'the')) AS hit FROM w),
