@@ -83,14 +83,15 @@ class Encoder:
         if len(self.known) > MEMO_SEGMENTS:
             self._forget()
         at = pc.index_in(distinct, value_set=self.known)
+        places = np.array(pc.fill_null(at, 0), dtype=np.int64)
         if at.null_count:
+            places[np.asarray(at.is_null())] = len(self.known) + np.arange(at.null_count)  # one lookup: they are appended in this order
             missing = distinct.filter(at.is_null())
             found = self._library(missing.to_pylist())
             more = np.fromiter(map(len, found), np.int64, len(found))
             self.flat, self.sizes = np.concatenate([self.flat, *found]), np.concatenate([self.sizes, more])
             self.known = _joined([self.known, missing])
-            at = pc.index_in(distinct, value_set=self.known)
-        return np.asarray(at)
+        return places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's begin (one more entry: the end). Null is empty."""
