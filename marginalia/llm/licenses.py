@@ -1,7 +1,7 @@
 """License scan: places of fixed phrases, and an exact set-similarity join of text blocks with license notices.
 
-Blocks are windows of 4, 8, 16, ... words that step by half their length; a notice is compared with the windows of twice its
-words or a little more, so wherever it stands, one of them holds all of it. A block matches a notice if it holds a given share
+Blocks are windows of words: a notice of m words is compared with windows of one and a half times m that step by half of m, so
+wherever it stands, one of them holds all of it, and one word between. A block matches a notice if it holds a given share
 of the notice's distinct words (containment). The join is exact: words are ordered by how often they occur in all documents,
 rarest first; to match, a block must hold one of a notice's first words (prefix filter), have words enough (length filter), and
 from the first common word on both must have enough left (positional filter); what remains is compared word by word.
@@ -75,9 +75,9 @@ def _words(text: str) -> list[str]:
     return folded(pa.array([text], pa.string()))[0].decode().split()
 
 
-def _window(words: int) -> int:
-    """The windows' length for a notice of so many words: the power of two that holds it twice."""
-    return 1 << (2 * words - 1).bit_length()
+def step_of(words: int) -> int:
+    """How far windows for a notice of so many words are apart; they are longer than the notice by as much."""
+    return (words + 1) // 2
 
 
 def _frequencies(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
@@ -98,21 +98,21 @@ def _frequencies(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
 
 
 _PLACE = "struct<start:long,end:long,label:string>"
-_BLOCK = "struct<window:int,block:long,words:array<int>>"
+_BLOCK = "struct<width:int,start:long,words:array<int>>"
 
 
 def _scanned(docs: DataFrame, phrases: Sequence[tuple[str, str]], number: dict[str, int], prefixes: dict[str, set[int]]) -> DataFrame:
-    """Per row: id, n_words, places of phrases, and the windows that hold a prefix word of a notice for such windows."""
+    """Per row: id, n_words, places of phrases, and the windows that hold a prefix word of a notice of their width (its number of words)."""
     kind = docs.schema["id"].dataType.simpleString()
     numbers = {w.encode(): i for w, i in number.items()}
-    at_word = {w.encode(): sorted(windows) for w, windows in prefixes.items()}
+    at_word = {w.encode(): sorted(widths) for w, widths in prefixes.items()}
     begins: dict[bytes, list] = {}
     for phrase, label in phrases:
         words = [w.encode() for w in _words(phrase)]
         begins.setdefault(words[0], []).append((words, label))
     marked = frozenset(at_word) | frozenset(begins)
     place = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string())])
-    block = pa.struct([("window", pa.int32()), ("block", pa.int64()), ("words", pa.list_(pa.int32()))])
+    block = pa.struct([("width", pa.int32()), ("start", pa.int64()), ("words", pa.list_(pa.int32()))])
 
     def of_text(words: list[bytes]) -> tuple[list, list]:
         places, blocks = [], set()
@@ -120,13 +120,12 @@ def _scanned(docs: DataFrame, phrases: Sequence[tuple[str, str]], number: dict[s
             for phrase, label in begins.get(words[i], ()):
                 if words[i : i + len(phrase)] == phrase:
                     places.append({"start": i, "end": i + len(phrase), "label": label})
-            for window in at_word.get(words[i], ()):
-                k = i // (window // 2)
-                blocks |= {(window, k), (window, k - 1)} if k else {(window, k)}
+            for width in at_word.get(words[i], ()):
+                step = step_of(width)
+                blocks.update((width, k * step) for k in range(max(0, i - width) // step, i // step + 1))
         out = []
-        for window, k in sorted(blocks):
-            start = k * (window // 2)
-            out.append({"window": window, "block": k, "words": sorted({numbers[w] for w in words[start : start + window] if w in numbers})})
+        for width, start in sorted(blocks):
+            out.append({"width": width, "start": start, "words": sorted({numbers[w] for w in words[start : start + width + step_of(width)] if w in numbers})})
         return places, out
 
     @lean
@@ -149,16 +148,16 @@ def _scanned(docs: DataFrame, phrases: Sequence[tuple[str, str]], number: dict[s
 
 def _joined(blocks: DataFrame, notices: DataFrame) -> DataFrame:
     """The exact join: row, start, end, label, containment of every block that holds enough of a notice. Words of both are numbers, rarest first."""
-    prefix = notices.select("notice", "window", "need", "size", F.posexplode(F.slice("words", F.lit(1), F.col("size") - F.col("need") + 1)).alias("place", "word"))
-    words = blocks.select("row", "window", "block", "words", F.posexplode("words").alias("at", "word"))
-    pairs = words.join(F.broadcast(prefix), ["window", "word"]).filter(F.size("words") >= F.col("need"))
-    first = pairs.groupBy("row", "window", "block", "notice").agg(F.min(F.struct("place", "at")).alias("first"), F.first("words").alias("words"), F.first("need").alias("need"), F.first("size").alias("size"))
+    prefix = notices.select("notice", "width", "need", "size", F.posexplode(F.slice("words", F.lit(1), F.col("size") - F.col("need") + 1)).alias("place", "word"))
+    words = blocks.select("row", "width", "start", "words", F.posexplode("words").alias("at", "word"))
+    pairs = words.join(F.broadcast(prefix), ["width", "word"]).filter(F.size("words") >= F.col("need"))
+    first = pairs.groupBy("row", "width", "start", "notice").agg(F.min(F.struct("place", "at")).alias("first"), F.first("words").alias("words"), F.first("need").alias("need"), F.first("size").alias("size"))
     left = F.least(F.col("size") - F.col("first.place"), F.size("words") - F.col("first.at"))
     kept = first.filter(left >= F.col("need")).join(F.broadcast(notices.select("notice", "label", F.col("words").alias("of_notice"))), "notice")
     common = F.size(F.array_intersect("words", "of_notice"))
-    start = F.col("block") * F.expr("window div 2")
+    end = F.col("start") + F.col("width") + F.expr("(width + 1) div 2")
     matched = kept.withColumn("common", common).filter(F.col("common") >= F.col("need"))
-    return matched.select("row", start.alias("start"), (start + F.col("window")).alias("end"), "label", (F.col("common") / F.col("size")).alias("containment"))
+    return matched.select("row", "start", end.alias("end"), "label", (F.col("common") / F.col("size")).alias("containment"))
 
 
 def license_blocks(
@@ -185,11 +184,11 @@ def license_blocks(
     known, prefixes = [], {}
     for i, (label, words) in enumerate(split):
         own = sorted({number[w] for w in words})
-        need, window = math.ceil(containment * len(own) - 1e-9), _window(len(words))
-        known.append((i, label, window, need, len(own), own))
+        need = math.ceil(containment * len(own) - 1e-9)
+        known.append((i, label, len(words), need, len(own), own))
         for w in sorted(set(words), key=number.__getitem__)[: len(own) - need + 1]:
-            prefixes.setdefault(w, set()).add(window)
-    table = spark.createDataFrame(known, "notice int, label string, window int, need int, size int, words array<int>")
+            prefixes.setdefault(w, set()).add(len(words))
+    table = spark.createDataFrame(known, "notice int, label string, width int, need int, size int, words array<int>")
     scanned = tmp.save(_scanned(rows, phrases, number, prefixes).withColumn("row", F.monotonically_increasing_id()), "scanned")
     found = _joined(scanned.select("row", F.explode("blocks").alias("b")).select("row", "b.*"), table)
     by_row = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label", "containment"))).alias("found"))

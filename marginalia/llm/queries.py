@@ -99,7 +99,7 @@ def _license_sql() -> str:
     for k, (label, text) in enumerate(licenses.NOTICES):
         words = text.split()
         own = sorted(set(words))
-        notices += [f"({k}, '{label}', {licenses._window(len(words)) // 2}, {len(own)}, '{w}')" for w in own]
+        notices += [f"({k}, '{label}', {len(words)}, {licenses.step_of(len(words))}, {len(own)}, '{w}')" for w in own]
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES)
     return f"""
     WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
@@ -107,9 +107,9 @@ def _license_sql() -> str:
     p AS (SELECT string_split(c.phrase, ' ') AS phrase, c.label FROM (VALUES {phrases}) c(phrase, label)),
     base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels
              FROM w JOIN p ON w.word = p.phrase[1] JOIN d USING (doc_id) WHERE d.words[i + 1 : i + len(p.phrase)] = p.phrase GROUP BY doc_id),
-    n AS (SELECT * FROM (VALUES {", ".join(notices)}) v(notice, label, step, size, word)),
-    hits AS (SELECT doc_id, notice, label, size, word, unnest([i // step, i // step - 1]) AS block FROM w JOIN n USING (word)),
-    blocks AS (SELECT doc_id, label, count(DISTINCT word) / size AS containment FROM hits WHERE block >= 0 GROUP BY doc_id, notice, label, size, block
+    n AS (SELECT * FROM (VALUES {", ".join(notices)}) v(notice, label, width, step, size, word)),
+    hits AS (SELECT doc_id, notice, label, size, word, unnest(range(CASE WHEN i > width THEN (i - width) // step ELSE 0 END, i // step + 1)) AS block FROM w JOIN n USING (word)),
+    blocks AS (SELECT doc_id, label, count(DISTINCT word) / size AS containment FROM hits GROUP BY doc_id, notice, label, size, block
                HAVING count(DISTINCT word) >= ceil({licenses.CONTAINMENT} * size - 1e-9)),
     own AS (SELECT doc_id, list(DISTINCT label) AS labels, max(containment) AS containment FROM blocks GROUP BY doc_id)
     SELECT d.doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,

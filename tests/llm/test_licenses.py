@@ -20,10 +20,10 @@ def plain(text, phrases=licenses.PHRASES, notices=licenses.NOTICES, share=licens
     places = [(i, i + len(p.split()), label) for i in range(len(words)) for p, label in phrases if words[i : i + len(p.split())] == p.split()]
     blocks = set()
     for label, notice in notices:
-        own, window = set(words_of(notice)), 4
-        while window < 2 * len(words_of(notice)):
-            window *= 2
-        for start in range(0, max(1, len(words)), window // 2):
+        own, width = set(words_of(notice)), len(words_of(notice))
+        step = (width + 1) // 2
+        window = width + step
+        for start in range(0, max(1, len(words)), step):
             common = len(own & set(words[start : start + window]))
             if common >= math.ceil(share * len(own) - 1e-9):
                 blocks.add((start, start + window, label, common / len(own)))
