@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -126,25 +127,35 @@ def contained_key(c: Column) -> Column:
     return F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit("and")), "[^a-z0-9]+", "")
 
 
-def agree(a: Column, b: Column, share: float = 0.34, longer_than: int = 3) -> Column:
-    """Whether two titles have so large a share of the longer words of the one with fewer in common; true if either has none."""
-    x, y = (F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) > longer_than)) for c in (a, b))
+def clean_title(c: Column) -> Column:
+    """Ligatures as letters, no REPRINT before it, white space single, no dashes before and no commas, semicolons and colons after it."""
+    bare = tidy(F.regexp_replace(expand_ligatures(c), r"(?i)^REPRINT\s+", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"^[-–—\s]+", ""), r"[\s,;:]+$", ""))
+
+
+def agree(a: Column, b: Column, ignored: Sequence[str] = (), share: float = 0.34, longer_than: int = 3) -> Column:
+    """Whether two titles have so large a share of the longer words of the one with fewer in common, ``ignored`` ones left out; true if either has none."""
+    x, y = (F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: (F.length(w) > longer_than) & ~w.isin(*ignored))) for c in (a, b))
     least = F.least(F.size(x), F.size(y))
     return (least == 0) | (F.size(F.array_intersect(x, y)) >= F.lit(share) * least)
 
 
-def chosen_title(front: Column, contents: Column, confident: Column, usable) -> Column:
-    """title, source, needs_review: the headline of the opening page if it is certain, else the contents entry, else the uncertain headline.
-    ``usable`` is the test of a title that both must pass. A certain headline that disagrees with the contents needs review."""
-    front, contents = (F.nullif(tidy(c), F.lit("")) for c in (front, contents))
-    good, listed = (F.coalesce(usable(c), F.lit(False)) & c.isNotNull() for c in (front, contents))
-    result = lambda title, source, review: F.struct(title.alias("title"), F.lit(source).alias("source"), review.alias("needs_review"))
-    return (
-        F.when(good & F.coalesce(confident, F.lit(False)), result(front, "front page", listed & ~agree(front, contents)))
-        .when(listed, result(contents, "contents", F.lit(False)))
-        .when(good, result(front, "front page (unverified)", F.lit(True)))
-        .otherwise(result(F.lit(None).cast("string"), "none", F.lit(True)))
-    )
+def with_picked_title(df: DataFrame, front: Column, contents: Column, confident: Column, garbled: Callable[[Column], Column], recased: Callable[[Column], Column], ignored: Sequence[str]) -> DataFrame:
+    """The rows with _picked (title, source, needs_review): the headline of the opening page if it is certain, else the contents entry, else the uncertain headline.
+
+    Both are cleaned first, and can't be ``garbled``; the one that is taken is ``recased``. A certain headline needs review if the contents entry is usable and disagrees, words
+    ``ignored`` left out; so does an uncertain one, and if there is none.
+    """
+    rows = df.withColumns({"_front": F.nullif(clean_title(front), F.lit("")), "_contents": F.nullif(clean_title(contents), F.lit("")), "_sure": F.coalesce(confident, F.lit(False))})
+    rows = rows.withColumns({c: F.when(~garbled(F.col(c)), F.col(c)) for c in ("_front", "_contents")})
+    source = (
+        F.when(F.col("_front").isNotNull() & F.col("_sure"), "front page").when(F.col("_contents").isNotNull(), "contents")
+        .when(F.col("_front").isNotNull(), "front page (unverified)").otherwise("none")
+    )
+    disagree = F.col("_contents").isNotNull() & ~agree(F.col("_front"), F.col("_contents"), ignored)
+    review = F.when(F.col("_source") == "front page", disagree).otherwise(F.col("_source") != "contents")
+    rows = rows.withColumn("_source", source).withColumn("_chosen", F.when(F.col("_source") == "contents", F.col("_contents")).otherwise(F.col("_front")))
+    return rows.withColumn("_picked", F.struct(recased(F.col("_chosen")).alias("title"), F.col("_source").alias("source"), review.alias("needs_review"))).drop("_front", "_contents", "_sure", "_source", "_chosen")
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -24,6 +24,11 @@ FRONT_MATTER = "About"
 DEFAULT_STRAP = "Feature Article"
 
 
+def ascii_words(pattern: str) -> str:
+    """The pattern with word boundaries that letters beyond ASCII make too: the rules are stated for words of ASCII."""
+    return pattern.replace(r"\b", r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))")
+
+
 def garbled(title: Column, furniture: Iterable[str] = FURNITURE) -> Column:
     """Whether a title can't be one: too short or long, page furniture, a slice of a sentence, or two texts read as one. Null is."""
     text = T.tidy_ends(T.expand_ligatures(F.coalesce(title, F.lit(""))))
@@ -31,14 +36,14 @@ def garbled(title: Column, furniture: Iterable[str] = FURNITURE) -> Column:
     twins = F.length(letters) - F.length(F.regexp_replace(letters, r"(.)\1+", "$1"))
     signs = [
         F.length(text) < 8,
-        *(text.rlike(f"(?i){x}") for x in furniture),
+        *(text.rlike(f"(?i){ascii_words(x)}") for x in furniture),
         text.rlike("^[a-z]"),
-        text.rlike(rf"(?i)\b({DANGLING})$"),
+        text.rlike(ascii_words(rf"(?i)\b({DANGLING})$")),
         (F.length(text) > 140) | (F.size(words) > 22),
         (F.length(letters) >= 10) & (twins * 5 > F.length(letters) * 2),
         F.exists(words, lambda w: (F.length(w) > 16) | ((F.length(w) > 10) & w.rlike("[a-z][A-Z]"))),
         (F.size(words) >= 8) & F.exists(F.slice(words, 2, 200), lambda w: w.rlike("^[0-9]{2,3}$")),
-        text.rlike(f"(?i){INNER_STRAPS}"),
+        text.rlike(f"(?i){ascii_words(INNER_STRAPS)}"),
     ]
     out = signs[0]
     for sign in signs[1:]:
@@ -76,7 +81,7 @@ def is_byline(line: Column) -> Column:
     """A short line with a byline's opening, or of two to five capitalised words without connectives."""
     text = _one_line(F.coalesce(line, F.lit("")))
     words = F.filter(F.split(F.regexp_replace(text, "[.,]", ""), " "), lambda w: w != "")
-    name = text.rlike("[a-z]") & ~text.rlike(f"(?i){NOT_A_NAME}") & F.size(words).between(2, 5) & F.forall(words, lambda w: w.rlike("^[A-Z]"))
+    name = text.rlike("[a-z]") & ~text.rlike(f"(?i){ascii_words(NOT_A_NAME)}") & F.size(words).between(2, 5) & F.forall(words, lambda w: w.rlike("^[A-Z]"))
     return (F.length(text) <= 70) & ~text.rlike("[?!:;]$") & (text.rlike(f"(?i){BYLINE_PREFIX}") | name)
 
 
@@ -84,7 +89,7 @@ def byline_name(line: Column) -> Column:
     """The name in a byline, without its opening and credentials; null if what is left can't be one."""
     bare = F.regexp_replace(_one_line(line), f"(?i){BYLINE_PREFIX}", "")
     name = F.trim(F.regexp_replace(F.get(F.split(bare, r"\s*[,.]\s+"), F.lit(0)), "[.,;:]+$", ""))
-    return F.when(F.length(name).between(1, 60) & (F.size(F.split(name, " +")) <= 6) & ~name.rlike(f"(?i){NOT_A_NAME}"), name)
+    return F.when(F.length(name).between(1, 60) & (F.size(F.split(name, " +")) <= 6) & ~name.rlike(f"(?i){ascii_words(NOT_A_NAME)}"), name)
 
 
 def author_in(blocks: DataFrame, key: str, position: str, kind: str, text: str) -> DataFrame:

@@ -148,25 +148,52 @@ def join_continuations(blocks: DataFrame, key: str, order: str, text: str, least
     return parts.select(key, F.get("p", F.lit(0))[order].alias("first"), F.size("p").alias("parts"), F.array_join(F.transform("p", lambda x: x[text]), " ").alias("text"))
 
 
-def merge_orphans(entries: DataFrame) -> DataFrame:
-    """issue, title, start_page, end_page, merged: entries without a title fold into the one before them, leading ones into the next;
-    so do entries with the title of, or pages inside, the entry before. What is inside depends on the merged entry, so this is a
-    fold over each issue's table of contents (issue, title, start_page, end_page)."""
+LONG_PAGES = 40
+
+
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries in order; keeps the issue's last article and, before its first titled entry, how many there were and their first page."""
+    columns = ["issue", "title", "start_page", "end_page", "merged", "long"]
+    issue, last, leading = object(), None, None
+    out: list[list] = []
 
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for r in own.sort_values(["start_page", "end_page"]).itertuples(index=False):
+    def close(at_end: bool) -> None:
+        if last is not None:
+            long = last[3] - last[2] + 1 > LONG_PAGES
+            out.append([*last, ("back matter" if at_end else "entry lost") if long else None])
+
+    for batch in batches:
+        for r in batch.itertuples(index=False):
             title = r.title if isinstance(r.title, str) and r.title.strip() else None
-            last = out[-1] if out else None
-            if last is None or not (title is None or title == last["title"] or r.start_page < last["end_page"] or last["title"] is None):
-                out.append({"issue": r.issue, "title": title, "start_page": r.start_page, "end_page": r.end_page, "merged": 1})
-                continue
-            last["title"] = last["title"] or title
-            last["end_page"] = max(last["end_page"], r.end_page)
-            last["merged"] += 1
-        return pd.DataFrame(out, columns=["issue", "title", "start_page", "end_page", "merged"])
-
-    return entries.groupBy("issue").applyInPandas(fold, "issue long, title string, start_page long, end_page long, merged long")
+            if r.issue != issue:
+                close(True)
+                issue, last, leading = r.issue, None, None
+            if last is None or (leading and last[1] is None):
+                # untitled entries before the first titled one fold into it; so far this is the one they fold into
+                first, n = (min(last[2], r.start_page), last[4] + 1) if last is not None else (r.start_page, 1)
+                last, leading = [r.issue, title, first, r.end_page, n], title is None
+            elif title is None or title.lower() == (last[1] or "").lower() or r.start_page <= last[2]:
+                last[3], last[4] = max(last[3], r.end_page), last[4] + 1
+            else:
+                close(False)
+                last = [r.issue, title, r.start_page, r.end_page, 1]
+        yield pd.DataFrame(out, columns=columns).astype({"start_page": "int64", "end_page": "int64", "merged": "int64"})
+        out.clear()
+    close(True)
+    yield pd.DataFrame(out, columns=columns).astype({"start_page": "int64", "end_page": "int64", "merged": "int64"})
+
+
+def merge_orphans(entries: DataFrame) -> DataFrame:
+    """issue, title, start_page, end_page, merged, long: entries (issue, title, start_page, end_page) that are no articles fold into the one before them, by order of pages.
+
+    Those are entries without a title, with the title of the article before but for case, or that begin no later than it does. Untitled entries before the first titled one fold into that
+    one, which takes over the first page. Articles of more than ``LONG_PAGES`` pages have lost an entry after them, the issue's last one carries back matter. Starts and ends aren't null.
+
+    What an entry is compared with depends on what was folded before, so an issue's entries pass through one task as a sorted stream, which keeps one article.
+    """
+    kind = entries.schema["issue"].dataType.simpleString()
+    rows = entries.filter("issue IS NOT NULL").select("issue", "title", F.col("start_page").cast("long").alias("start_page"), F.col("end_page").cast("long").alias("end_page"))
+    return rows.repartition("issue").sortWithinPartitions("issue", "start_page", "end_page", "title").mapInPandas(_merged, f"issue {kind}, title string, start_page long, end_page long, merged long, long string")
 
 
 def glued_words(docs: DataFrame, key: str, text: str, least_letters: int = 8, least_times: int = 5) -> DataFrame:

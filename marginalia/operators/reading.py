@@ -27,14 +27,19 @@ def captions(blocks: DataFrame, key: str, position: str, kind: str, text: str) -
 
 
 def containing(points: DataFrame, ranges: DataFrame, key: str, position: str) -> DataFrame:
-    """Points with the first of their key's ranges (range_id, start, end) that holds them, both ends included; null if none does.
+    """Points with the first of their key's ranges (range_id, start, end) that holds them, by start, then id; both ends are included. range_id is null if none does.
 
-    The join is on the key, so a point meets only ranges of its own issue, and the least range is a partial minimum.
+    Of ranges in that order only those matter that end later than all before them: a point's range is the first of these that ends at or after it, if it
+    begins in time. So points and ends are sorted once, and no point meets all ranges of its key. Repeated points stay; ranges that lack an end hold nothing.
     """
-    own = ranges.select(F.col(key).alias("_key"), F.col("range_id").alias("_range"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    hit = (F.col(key) == F.col("_key")) & F.col(position).between(F.col("_start"), F.col("_end"))
-    found = points.join(own, hit, "left")
-    return found.groupBy(*points.columns).agg(F.min_by("_range", F.struct("_start", "_range")).alias("range_id"))
+    before = Window.partitionBy("_key").orderBy("start", "range_id").rowsBetween(Window.unboundedPreceding, -1)
+    own = ranges.filter(F.col("start") <= F.col("end")).select(F.col(key).alias("_key"), "range_id", "start", "end")
+    own = own.withColumn("_most", F.max("end").over(before)).filter(F.col("_most").isNull() | (F.col("end") > F.col("_most")))
+    hits = own.select("_key", F.col("end").alias("_at"), F.lit(0).alias("_side"), F.struct("range_id", "start").alias("_range"))
+    rows = points.select(F.col(key).alias("_key"), F.col(position).alias("_at"), F.lit(1).alias("_side"), F.struct(*points.columns).alias("_row")).unionByName(hits, allowMissingColumns=True)
+    ahead = Window.partitionBy("_key").orderBy(F.desc_nulls_last("_at"), "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_next", F.last("_range", True).over(ahead)).filter("_side = 1")
+    return rows.select("_row.*", F.when(F.col("_next.start") <= F.col("_at"), F.col("_next.range_id")).alias("range_id"))
 
 
 def distinctive(titles: DataFrame, key: str, text: str) -> DataFrame:

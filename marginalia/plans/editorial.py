@@ -212,12 +212,12 @@ def image_captions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT conv_id, turn AS id, 3 * turn AS s, 3 * turn + 2 + turn % 3 AS e FROM conversations WHERE role <> 'system'), p AS (SELECT conv_id, 2 * turn + 1 AS place FROM conversations)
-    SELECT conv_id, place, (SELECT min(id) FROM r WHERE r.conv_id = p.conv_id AND place BETWEEN s AND e) AS range_id FROM p""")
+    WITH r AS (SELECT conv_id, turn AS id, turn // 2 + turn % 3 AS s, turn + turn % 4 - 1 AS e FROM conversations WHERE role <> 'system'), p AS (SELECT conv_id, turn - turn % 2 AS place FROM conversations)
+    SELECT conv_id, place, (SELECT arg_min(id, 1000000 * s + id) FROM r WHERE r.conv_id = p.conv_id AND place BETWEEN s AND e) AS range_id FROM p""")
 def containing_ranges(spark: SparkSession, d: str) -> DataFrame:
     turns, n = table(spark, d, "conversations"), F.col("turn")
-    ranges = turns.filter("role <> 'system'").select("conv_id", n.alias("range_id"), (3 * n).alias("start"), (3 * n + 2 + n % 3).alias("end"))
-    return G.containing(turns.select("conv_id", (2 * n + 1).alias("place")), ranges, "conv_id", "place")
+    ranges = turns.filter("role <> 'system'").select("conv_id", n.alias("range_id"), (F.floor(n / 2) + n % 3).alias("start"), (n + n % 4 - 1).alias("end"))
+    return G.containing(turns.select("conv_id", (n - n % 2).alias("place")), ranges, "conv_id", "place")
 
 
 @query("""

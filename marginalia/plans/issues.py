@@ -122,17 +122,6 @@ def _issue_pages(spark: SparkSession, d: str) -> DataFrame:
 _PAGES_SQL = "WITH d AS (SELECT concat_ws('/', source, doc_id // 200) AS issue, doc_id % 200 + 1 AS page, doc_id, lang, text FROM documents)"
 
 
-@query(_PAGES_SQL + """,
-    x AS (SELECT issue, page, nullif(CASE lang WHEN 'de' THEN 'Cover Story' WHEN 'fr' THEN 'About' WHEN 'es' THEN '' END, '') AS strap, split_part(coalesce(text, ''), chr(10), 1) AS line, doc_id % 3 = 0 AS sure, max(page) OVER (PARTITION BY issue) AS last FROM d),
-    o AS (SELECT *, CASE WHEN length(line) >= 15 THEN line END AS title FROM x),
-    k AS (SELECT * FROM o WHERE page > 1 AND (strap IS NOT NULL OR (title IS NOT NULL AND sure)) AND strap IS DISTINCT FROM 'About')
-    SELECT issue, page AS start_page, coalesce(lead(page) OVER (PARTITION BY issue ORDER BY page), last + 1) - 1 AS end_page, coalesce(title, strap) AS title, coalesce(strap, 'Feature Article') AS section FROM k""")
-def issue_openings(spark: SparkSession, d: str) -> DataFrame:
-    strap = F.when(F.col("lang") == "de", "Cover Story").when(F.col("lang") == "fr", "About").when(F.col("lang") == "es", "")
-    pages = _issue_pages(spark, d).withColumns({"strap": strap, "headline": T.first_line(F.col("text")), "sure": F.col("doc_id") % 3 == 0})
-    return I.openings(pages, "issue", "page", "strap", "headline", "sure")
-
-
 @query(_PAGES_SQL + """
     SELECT r.issue, r.doc_id AS entry, sha256(coalesce(string_agg(CASE WHEN p.page IS NOT NULL THEN chr(10) || coalesce(p.text, '') END, '' ORDER BY p.page), '')) AS text_sha256 FROM d r LEFT JOIN d p ON p.issue = r.issue AND p.page BETWEEN r.page AND least(r.page + r.doc_id % 6 - 1, r.page + 3) GROUP BY r.issue, r.doc_id""")
 def texts_of_ranges(spark: SparkSession, d: str) -> DataFrame:

@@ -17,7 +17,7 @@ from marginalia.operators import pages as P
 from marginalia.operators import relational as R
 from marginalia.operators import search as S
 from marginalia.operators import workflow as W
-from marginalia.plans import editorial, issues  # noqa: F401 (register their queries)
+from marginalia.plans import contents, editorial, issues, segments  # noqa: F401 (register their queries)
 from marginalia.plans.registry import oracle_sql, queries, query  # noqa: F401
 from marginalia.sources.tables import table
 from marginalia.streaming import stateful as Z
@@ -409,24 +409,6 @@ def section_changes(spark: SparkSession, d: str) -> DataFrame:
 _TIDY_SQL = "nullif(trim(regexp_replace({}, '[\\s\\x0B\\x{{85}}\\p{{Z}}]+', ' ', 'g')), '')"
 
 
-@query(f"""
-    WITH l AS (SELECT doc_id, {_TIDY_SQL.format("split_part(coalesce(text, ''), chr(10), 1)")} AS f, {_TIDY_SQL.format("split_part(coalesce(text, ''), chr(10), 2)")} AS c,
-    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS sure FROM documents),
-    u AS (SELECT *, coalesce(length(f) BETWEEN 3 AND 300 AND regexp_matches(f, '[A-Za-z]{{3}}'), false) AS fu, coalesce(length(c) BETWEEN 3 AND 300 AND regexp_matches(c, '[A-Za-z]{{3}}'), false) AS cu,
-    list_distinct(list_filter(regexp_split_to_array(lower(coalesce(f, '')), '[^a-z0-9]+'), lambda x: length(x) > 3)) AS x,
-    list_distinct(list_filter(regexp_split_to_array(lower(coalesce(c, '')), '[^a-z0-9]+'), lambda x: length(x) > 3)) AS y FROM l)
-    SELECT doc_id, CASE WHEN fu AND sure THEN f WHEN cu THEN c WHEN fu THEN f END AS title,
-    CASE WHEN fu AND sure THEN 'front page' WHEN cu THEN 'contents' WHEN fu THEN 'front page (unverified)' ELSE 'none' END AS source,
-    CASE WHEN fu AND sure THEN cu AND least(len(x), len(y)) > 0 AND len(list_intersect(x, y)) < 0.34 * least(len(x), len(y)) WHEN cu THEN false ELSE true END AS needs_review FROM u""")
-def title_choice(spark: SparkSession, d: str) -> DataFrame:
-    """A document's first line stands for the headline, sure where its quality is, and the second for its entry in the contents."""
-    line = lambda n: F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(n))
-    sure = table(spark, d, "labels").filter("quality = 1").select("doc_id", F.lit(True).alias("sure")).distinct()
-    usable = lambda c: F.length(c).between(3, 300) & c.rlike("[A-Za-z]{3}")
-    rows = table(spark, d, "documents").join(sure, "doc_id", "left")
-    return rows.select("doc_id", T.chosen_title(line(1), line(2), F.col("sure"), usable).alias("t")).select("doc_id", "t.*")
-
-
 @query(f"""
     WITH l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r?\\n'), lambda x: coalesce({_TIDY_SQL.format("x")}, '')),
     lambda x: length(x) > 60 AND regexp_matches(x, '^[A-Z"''(]') AND regexp_matches(x, '[a-z]{{4}}')) AS l FROM documents),
@@ -472,11 +454,21 @@ def continuations(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", "first", F.col("parts").cast("long"), F.length("text").cast("long").alias("chars"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (SELECT conv_id AS issue, CASE WHEN turn % 5 <> 2 AND turn + conv_id % 3 > 1 THEN CASE WHEN turn % 2 = 0 THEN upper(role) ELSE role END END AS title, (turn - (turn % 7 = 3)::INT) * (4 + 40 * (conv_id % 9 = 0)::INT) + 1 AS s, (turn + 1) * (4 + 40 * (conv_id % 9 = 0)::INT) + 3 * (turn % 4 = 1)::INT AS f FROM conversations),
+    k AS (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY s, f, title NULLS FIRST) AS k FROM e),
+    z AS (SELECT issue, coalesce(min(k) FILTER (WHERE title IS NOT NULL), max(k)) AS z, max(k) AS n FROM k GROUP BY issue),
+    w AS (SELECT k.issue, k.k, k.title, (SELECT min(s) FROM k b WHERE b.issue = k.issue AND b.k <= k.k) AS s, k.k AS g FROM k JOIN z ON k.issue = z.issue AND k.k = z.z
+    UNION ALL SELECT k.issue, k.k, CASE WHEN c.stray THEN w.title ELSE k.title END, CASE WHEN c.stray THEN w.s ELSE k.s END, CASE WHEN c.stray THEN w.g ELSE k.k END
+      FROM w JOIN k ON k.issue = w.issue AND k.k = w.k + 1, LATERAL (SELECT k.title IS NULL OR coalesce(lower(k.title) = lower(w.title), false) OR k.s <= w.s AS stray) c),
+    g AS (SELECT w.issue, w.g, any_value(w.title) AS title, any_value(w.s) AS start_page, max(k.f) AS end_page, count(*) + CASE WHEN w.g = any_value(z.z) THEN any_value(z.z) - 1 ELSE 0 END AS merged FROM w JOIN k USING (issue, k) JOIN z USING (issue) GROUP BY w.issue, w.g)
+    SELECT issue, title, start_page, end_page, merged, CASE WHEN end_page - start_page + 1 > 40 THEN CASE WHEN g = max(g) OVER (PARTITION BY issue) THEN 'back matter' ELSE 'entry lost' END END AS long FROM g""")
 def orphan_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Turns stand for entries of a contents table; every third one has lost its title."""
-    t = F.col("turn").cast("long")
-    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("issue"), F.when(t % 3 != 2, F.concat("role", (t % 2).cast("string"))).alias("title"), (t * 4 + 1).alias("start_page"), (t * 4 + 4 + F.when(t % 4 == 1, 3).otherwise(0)).alias("end_page"))
+    """Turns stand for entries of a contents table. Titles are roles, in capitals on even turns; some are lost, some entries begin on a page that another has, and some issues have long articles."""
+    t, wide = F.col("turn").cast("long"), 4 + F.when(F.col("conv_id") % 9 == 0, 40).otherwise(0)
+    title = F.when((t % 5 != 2) & (t + F.col("conv_id") % 3 > 1), F.when(t % 2 == 0, F.upper("role")).otherwise(F.col("role")))
+    start = (t - F.when(t % 7 == 3, 1).otherwise(0)) * wide + 1
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("issue"), title.alias("title"), start.alias("start_page"), ((t + 1) * wide + F.when(t % 4 == 1, 3).otherwise(0)).alias("end_page"))
     return P.merge_orphans(rows)
 
 
