@@ -87,7 +87,7 @@ def limited_stream(hits: DataFrame, window_us: int, most: int) -> DataFrame:
         own = pd.concat(list(batches)).sort_values(["at", "id"])
         keep, start, count = _limited(own["at"].tolist(), start, count, window_us, most)
         state.update((start, count))
-        state.setTimeoutDuration(max(1, window_us // 1000))
+        state.setTimeoutDuration(max(1, (start + window_us - int(own["at"].iloc[-1])) // 1000))  # what is left of the window, however often hits come
         yield own.assign(allowed=keep)[["key", "id", "at", "allowed"]]
 
     schema = f"key {hits.schema['key'].dataType.simpleString()}, id {hits.schema['id'].dataType.simpleString()}, at long, allowed boolean"
