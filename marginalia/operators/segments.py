@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.sources.scratch import written
+
 #: Words that are evidence of nothing in a title.
 STOP_WORDS = "the a an of on in to for and or at by is it as with from its this that be are".split()
 CONFIDENT = 0.6
@@ -41,7 +43,7 @@ def _title_pairs(titles: DataFrame, headings: DataFrame) -> DataFrame:
     the order of how many headings have it (prefix filter). So sets meet by size on rare words; the second case meets on the word of one heading.
     """
     each = headings.select("issue", "position", F.explode("words").alias("word"))
-    often = each.groupBy("issue", "word").agg(F.count(F.lit(1)).alias("often"))
+    often = written(each.groupBy("issue", "word").agg(F.count(F.lit(1)).alias("often")), "heading-words")
 
     def sets(rows: DataFrame, name: str) -> DataFrame:
         own = rows.select("issue", F.array_join("words", " ").alias(name), "words").filter(F.size("words") > 0).distinct()
@@ -49,7 +51,7 @@ def _title_pairs(titles: DataFrame, headings: DataFrame) -> DataFrame:
         order = F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(2**62)).alias("often"), "word")))  # words that no heading has come last
         return words.groupBy("issue", name).agg(order.alias(f"{name}_words"))
 
-    a, b = sets(titles, "title"), sets(headings, "heading")
+    a, b = written(sets(titles, "title"), "title-sets"), written(sets(headings, "heading"), "heading-sets")
     low, high = CONFIDENT / (2 - CONFIDENT), (2 - CONFIDENT) / CONFIDENT  # of two sets with that score none is smaller or larger by more
 
     def prefix(df: DataFrame, name: str, other: str) -> DataFrame:
@@ -72,21 +74,21 @@ def _title_pairs(titles: DataFrame, headings: DataFrame) -> DataFrame:
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by issue: first places of headings, then entries with their candidates. Keeps an issue's places of candidates, and the floor."""
+    """Rows by issue: first places of headings, then entries with their candidates. Keeps an issue's places of candidates with their texts, and the floor."""
     issue, places, floor, entry, best = object(), {}, 0, None, None
     out: list[tuple] = []
 
     def close() -> None:
         nonlocal floor, entry
         if entry is not None and best is not None:
-            out.append((issue, entry, best[1], -best[0]))
+            out.append((issue, entry, best[1], best[2], -best[0]))
             floor = best[1] + 1
         entry = None
 
     def flush(schema: pa.Schema) -> pa.RecordBatch:
         rows = out[:]
         out.clear()
-        names, types = ["issue", "entry", "position", "score"], [schema.field("issue").type, schema.field("entry").type, pa.int64(), pa.float64()]
+        names, types = ["issue", "entry", "position", "text", "score"], [schema.field("issue").type, schema.field("entry").type, pa.int64(), pa.string(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     schema = None
@@ -97,15 +99,15 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 close()
                 issue, places, floor = r["issue"], {}, 0
             if r["entry"] is None:
-                places.setdefault(r["heading"], []).append(r["position"])
+                places.setdefault(r["heading"], []).append((r["position"], r["text"]))
                 continue
             if r["entry"] != entry:
                 close()
                 entry, best = r["entry"], None
             own = places.get(r["heading"], ())
-            at = bisect_left(own, floor)
-            if at < len(own) and (best is None or (-r["score"], own[at]) < best):
-                best = (-r["score"], own[at])
+            at = bisect_left(own, (floor,))
+            if at < len(own) and (best is None or (-r["score"], own[at][0]) < best[:2]):
+                best = (-r["score"], *own[at])
         if len(out) >= 10_000:
             yield flush(schema)
     close()
@@ -124,19 +126,19 @@ def heading_segments(elements: DataFrame, articles: DataFrame) -> DataFrame:
     At scale: sets of words are compared once, however often a heading or title occurs. A task keeps the places of an issue's
     headings that are candidates of some title, not its elements.
     """
-    headings = elements.filter("kind = 'heading'").select("issue", "position", title_tokens(F.col("text")).alias("words"))
+    headings = elements.filter("kind = 'heading'").select("issue", F.col("position").cast("long").alias("position"), "text", title_tokens(F.col("text")).alias("words"))
+    headings = written(headings, "headings")
     asked = articles.filter(~F.coalesce("skip", F.lit(False))).select("issue", "entry", title_tokens(F.col("title")).alias("words"))
-    pairs = _title_pairs(asked, headings)
-    places = headings.select("issue", F.array_join("words", " ").alias("heading"), F.col("position").cast("long").alias("position")).join(pairs.select("issue", "heading").distinct(), ["issue", "heading"], "left_semi")
+    pairs = written(_title_pairs(asked, headings), "title-pairs")
+    places = headings.select("issue", F.array_join("words", " ").alias("heading"), "position", "text").join(pairs.select("issue", "heading").distinct(), ["issue", "heading"], "left_semi")
     wanted = asked.select("issue", "entry", F.array_join("words", " ").alias("title")).join(pairs, ["issue", "title"]).select("issue", "entry", "heading", "score")
-    rows = places.withColumns({"entry": F.lit(None).cast(articles.schema["entry"].dataType), "score": F.lit(None).cast("double")}).unionByName(wanted.withColumn("position", F.lit(None).cast("long")))
+    rows = places.withColumns({"entry": F.lit(None).cast(articles.schema["entry"].dataType), "score": F.lit(None).cast("double")}).unionByName(wanted, allowMissingColumns=True)
     kinds = [f"{c} {articles.schema[c].dataType.simpleString()}" for c in ("issue", "entry")]
-    found = rows.repartition("issue").sortWithinPartitions("issue", F.asc_nulls_first("entry"), "position").mapInArrow(_pick, f"{', '.join(kinds)}, position long, score double")
+    found = rows.repartition("issue").sortWithinPartitions("issue", F.asc_nulls_first("entry"), "position").mapInArrow(_pick, f"{', '.join(kinds)}, position long, text string, score double")
     following = F.lead("position").over(Window.partitionBy("issue").orderBy("entry"))
     sizes = elements.groupBy("issue").agg(F.count(F.lit(1)).alias("_n"))
     found = found.withColumn("_next", following).join(sizes, "issue").withColumn("end", F.coalesce("_next", "_n") - 1)
-    found = found.join(elements.select("issue", F.col("position").cast("long").alias("position"), F.col("text").alias("matched_heading")), ["issue", "position"])
-    out = articles.select("issue", "entry", "title", "skip").join(found, ["issue", "entry"], "left")
+    out = articles.select("issue", "entry", "title", "skip").join(found.withColumnRenamed("text", "matched_heading"), ["issue", "entry"], "left")
     return out.select("issue", "entry", "title", "skip", F.col("position").alias("start"), "end", "matched_heading", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("position").isNotNull().alias("confident"))
 
 
@@ -244,7 +246,7 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if r["kind"] == 0:
                 prose.look_for(r["text"])
             elif r["kind"] == 1:
-                prose.read(r["number"], r["text"])
+                prose.read(n_elements, r["text"])
                 n_elements += 1
             else:
                 article(r["number"], r["page"], r["probes"])
@@ -255,12 +257,16 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(schema)
 
 
-def opening_probes(articles: DataFrame, pages: DataFrame) -> DataFrame:
-    """The articles (issue, entry, start_page, end_page) with probes: of their first two pages (issue, page, text) the first nine words of each line
-    that has so many, distinct, in order, ``MOST_PROBES`` at most."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\r?\n"), lambda x: F.split(normal_words(x), " "))
+def page_probes(text: Column) -> Column:
+    """The first nine words of each line of a page that has so many, distinct, in order, ``MOST_PROBES`` at most."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.split(normal_words(x), " "))
     probes = F.transform(F.filter(lines, lambda w: F.size(w) >= PROBE_WORDS), lambda w: F.array_join(F.slice(w, 1, PROBE_WORDS), " "))
-    own = pages.select("issue", F.col("page").alias("_page"), probes.alias("_probes"))
+    return F.slice(F.array_distinct(probes), 1, MOST_PROBES)
+
+
+def opening_probes(articles: DataFrame, pages: DataFrame) -> DataFrame:
+    """The articles (issue, entry, start_page, end_page) with probes: the distinct ones of their first two pages (issue, page, probes), ``MOST_PROBES`` at most."""
+    own = pages.select("issue", F.col("page").alias("_page"), F.col("probes").alias("_probes"))
     out, parts = articles, []
     for k in range(PROBE_PAGES):
         page = F.when(F.col("start_page") + k <= F.col("end_page"), F.col("start_page") + k)
@@ -272,11 +278,11 @@ def opening_probes(articles: DataFrame, pages: DataFrame) -> DataFrame:
 def anchored_articles(elements: DataFrame, articles: DataFrame, pages: DataFrame) -> DataFrame:
     """Per article (issue, entry, start_page, end_page): position and end_position (of elements), probe, probes_matched, probes_tried, confident, estimated.
 
-    elements: issue, position, text (positions from 0 without gaps). In the order of entries, an article begins at the element where the earliest of its probes stands
+    elements: issue, position, text; their places are numbered from 0 in the order of position, which may be of any type that sorts. In the order of entries, an article begins at the element where the earliest of its probes stands
     at or after the floor, which then moves behind that element. Articles without a hit are placed between their neighbours
     in proportion to their pages, between the two positions; before the first and after the last hit they have none. An article
-    ends before the next one that has a place, the last one with the issue. (issue, entry), (issue, position) and (issue, page)
-    are unique; null texts have no words.
+    ends before the next one that has a place, the last one with the issue. pages: issue, page, and probes, which ``page_probes`` makes of a page's text.
+    (issue, entry), (issue, position) and (issue, page) are unique; null texts have no words.
 
     At scale: the text of elements is shuffled once, and read once as a stream of words against an issue's probes. A task keeps an
     issue's probes, their hits, and its articles without a place since the last hit.
@@ -284,12 +290,12 @@ def anchored_articles(elements: DataFrame, articles: DataFrame, pages: DataFrame
     kind = articles.schema["issue"].dataType.simpleString()
     asked = opening_probes(articles.select("issue", F.col("entry").cast("long").alias("entry"), "start_page", "end_page"), pages)
     empty = F.lit(None).cast("array<string>")
-    number = lambda c: F.col(c).cast("long").alias("number")
-    none = F.lit(None).cast("long")
-    probes = asked.select("issue", F.explode("probes").alias("text")).distinct().select("issue", F.lit(0).alias("kind"), none.alias("number"), none.alias("page"), "text", empty.alias("probes"))
-    flow = elements.select("issue", F.lit(1).alias("kind"), number("position"), none.alias("page"), normal_words(F.col("text")).alias("text"), empty.alias("probes"))
-    entries = asked.select("issue", F.lit(2).alias("kind"), number("entry"), F.col("start_page").cast("long").alias("page"), F.lit(None).cast("string").alias("text"), "probes")
-    rows = probes.unionByName(flow).unionByName(entries).repartition("issue").sortWithinPartitions("issue", "kind", "number")
+    none, place = F.lit(None).cast("long"), elements.schema["position"].dataType
+    unplaced = F.lit(None).cast(place).alias("place")
+    probes = asked.select("issue", F.explode("probes").alias("text")).distinct().select("issue", F.lit(0).alias("kind"), none.alias("number"), unplaced, none.alias("page"), "text", empty.alias("probes"))
+    flow = elements.select("issue", F.lit(1).alias("kind"), none.alias("number"), F.col("position").alias("place"), none.alias("page"), normal_words(F.col("text")).alias("text"), empty.alias("probes"))
+    entries = asked.select("issue", F.lit(2).alias("kind"), F.col("entry").alias("number"), unplaced, F.col("start_page").cast("long").alias("page"), F.lit(None).cast("string").alias("text"), "probes")
+    rows = probes.unionByName(flow).unionByName(entries).repartition("issue").sortWithinPartitions("issue", "kind", "place", "number").drop("place")
     return rows.mapInArrow(_place, f"issue {kind}, entry long, position long, end_position long, probe string, probes_matched long, probes_tried long, confident boolean, estimated boolean")
 
 
@@ -299,18 +305,18 @@ def prose_problems(elements: DataFrame, segments: DataFrame) -> DataFrame:
 
     elements: issue, position, kind, text; segments: issue, entry, start, end, skip, not overlapping. Texts are trimmed and given up to 90 characters.
 
-    At scale: one sort of each issue's elements and segment starts together carries the last start and the last text along, so no element meets all segments.
+    At scale: one sort of each issue's elements and segment starts together carries the last start along, and whether the last text was finished; whole texts aren't moved.
     """
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
-    flow = elements.filter(F.col("kind") != "table").select("issue", "position", F.lit(1).alias("_side"), "kind", text.alias("_text"), F.lit(None).cast(segments.schema["entry"].dataType).alias("_entry"), F.lit(None).cast("long").alias("_end")).filter("_text <> ''")
-    begins = segments.filter(~F.coalesce("skip", F.lit(False)) & F.col("start").isNotNull()).select("issue", F.col("start").cast(elements.schema["position"].dataType).alias("position"), F.lit(0).alias("_side"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("_text"), F.col("entry").alias("_entry"), F.col("end").cast("long").alias("_end"))
-    order = Window.partitionBy("issue").orderBy("position", "_side")
-    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
+    entry, place = segments.schema["entry"].dataType, elements.schema["position"].dataType
+    texts = elements.filter(F.col("kind") != "table").select("issue", "position", "kind", text.alias("_text")).filter("_text <> ''")
+    opens = (F.col("kind") == "paragraph") & F.col("_text").rlike("^[a-z]")
+    flow = texts.select("issue", "position", F.lit(1).alias("_side"), F.when(opens, F.substring("_text", 1, 90)).alias("text"), (~F.col("_text").rlike("[.!?:;”\"’')\\]]$")).alias("_open"), F.lit(None).cast(entry).alias("_entry"), F.lit(None).cast("long").alias("_end"))
+    begins = segments.filter(~F.coalesce("skip", F.lit(False)) & F.col("start").isNotNull()).select("issue", F.col("start").cast(place).alias("position"), F.lit(0).alias("_side"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("_open"), F.col("entry").alias("_entry"), F.col("end").cast("long").alias("_end"))
+    so_far = Window.partitionBy("issue").orderBy("position", "_side").rowsBetween(Window.unboundedPreceding, -1)
     rows = flow.unionByName(begins).withColumns({
         "_own": F.last(F.when(F.col("_entry").isNotNull(), F.struct("_entry", "_end")), True).over(so_far),
-        "_before": F.last("_text", True).over(so_far),
-    }).filter("_side = 1")
-    inside = F.coalesce(F.col("position") <= F.col("_own._end"), F.lit(False))
-    unfinished = F.coalesce(~F.col("_before").rlike("[.!?:;”\"’')\\]]$"), F.lit(False))
-    rows = rows.filter(inside & (F.col("kind") == "paragraph") & F.col("_text").rlike("^[a-z]"))
-    return rows.select("issue", "position", F.col("_own._entry").alias("entry"), F.when(unfinished, "orphan-fragment").otherwise("dropped-capital").alias("kind"), F.substring("_text", 1, 90).alias("text"))
+        "_before": F.last("_open", True).over(so_far),
+    }).filter("_side = 1 AND text IS NOT NULL")
+    rows = rows.filter(F.coalesce(F.col("position") <= F.col("_own._end"), F.lit(False)))
+    return rows.select("issue", "position", F.col("_own._entry").alias("entry"), F.when(F.col("_before"), "orphan-fragment").otherwise("dropped-capital").alias("kind"), "text")

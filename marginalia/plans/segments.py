@@ -14,21 +14,36 @@ from marginalia.plans.registry import query
 from marginalia.sources.tables import table
 
 ISSUE_IDS = 200
+ISSUE = F.concat_ws("-", F.col("source"), F.expr(f"doc_id div {ISSUE_IDS}").cast("string"))
 _STOPS = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
 
 
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    """issue, entry (from 1), doc_id, lang of all documents: texts aren't moved for it."""
+    docs = table(spark, d, "documents").select(ISSUE.alias("issue"), "doc_id", "lang")
+    return docs.withColumn("entry", F.row_number().over(Window.partitionBy("issue").orderBy("doc_id")).cast("long"))
+
+
 def issues(spark: SparkSession, d: str) -> DataFrame:
     """issue, entry (from 1), doc_id, lang, text."""
-    docs = table(spark, d, "documents").withColumn("issue", F.concat_ws("-", "source", F.expr(f"doc_id div {ISSUE_IDS}").cast("string")))
-    return docs.select("issue", F.row_number().over(Window.partitionBy("issue").orderBy("doc_id")).cast("long").alias("entry"), "doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    docs = table(spark, d, "documents").select(ISSUE.alias("issue"), "doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.withColumn("entry", F.row_number().over(Window.partitionBy("issue").orderBy("doc_id")).cast("long"))
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """issue, doc_id, lang, n, text: the lines of documents."""
+    docs = table(spark, d, "documents")
+    return docs.select(ISSUE.alias("issue"), "doc_id", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "text"))
+
+
+def _kind():
+    return F.when(T.word_count(F.col("text")).between(1, 12), "heading").otherwise("paragraph")
 
 
-def elements_of(docs: DataFrame) -> DataFrame:
-    """issue, position, kind, text: the lines of documents in order."""
-    lines = docs.select("issue", "doc_id", F.posexplode(F.split("text", "\n")).alias("_n", "text"))
-    position = F.row_number().over(Window.partitionBy("issue").orderBy("doc_id", "_n")) - 1
-    kind = F.when(T.word_count(F.col("text")).between(1, 12), "heading").otherwise("paragraph")
-    return lines.select("issue", position.cast("long").alias("position"), kind.alias("kind"), "text")
+def _placed(lines: DataFrame) -> DataFrame:
+    """issue, position, kind, text of lines (with kind), numbered in order."""
+    position = F.row_number().over(Window.partitionBy("issue").orderBy("doc_id", "n")) - 1
+    return lines.select("issue", position.cast("long").alias("position"), "kind", "text")
 
 
 _ISSUES_SQL = f"""
@@ -54,17 +69,18 @@ _SEGMENTS_SQL = f"""{_ISSUES_SQL}, {_LINES_SQL.format('')},
     """
 
 
-def _segments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = issues(spark, d)
-    title = F.split_part(T.first_line(F.col("text")), F.lit("."), F.lit(1))
-    elements = elements_of(docs)
-    return elements, S.heading_segments(elements, docs.select("issue", "entry", title.alias("title"), (F.col("doc_id") % 9 == 0).alias("skip")))
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d).withColumn("kind", _kind())
+    elements = _placed(lines.withColumn("text", F.when(F.col("kind") == "heading", F.col("text"))))  # other texts aren't looked at
+    docs = table(spark, d, "documents").select("doc_id", F.split_part(T.first_line(F.col("text")), F.lit("."), F.lit(1)).alias("title"))
+    articles = _numbered(spark, d).join(docs, "doc_id").select("issue", "entry", "title", (F.col("doc_id") % 9 == 0).alias("skip"))
+    return S.heading_segments(elements, articles)
 
 
 @query(_SEGMENTS_SQL + "SELECT * FROM seg")
 def heading_segments(spark: SparkSession, d: str) -> DataFrame:
     """Titles are the first sentences of documents, headings their short lines; every ninth entry is front matter and skipped."""
-    return _segments(spark, d)[1]
+    return _segments(spark, d)
 
 
 @query(_SEGMENTS_SQL + """,
@@ -74,7 +90,7 @@ def heading_segments(spark: SparkSession, d: str) -> DataFrame:
     FROM v JOIN seg ON seg.issue = v.issue AND v.position BETWEEN seg.start AND seg."end" AND NOT seg.skip WHERE v.kind = 'paragraph' AND regexp_matches(v.text, '^[a-z]')""")
 def prose_problems(spark: SparkSession, d: str) -> DataFrame:
     """Of the articles that headings were found for."""
-    return S.prose_problems(*_segments(spark, d))
+    return S.prose_problems(_placed(_lines(spark, d).withColumn("kind", _kind())), _segments(spark, d))
 
 
 _NORMAL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
@@ -106,7 +122,10 @@ _NORMAL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
     FROM f LEFT JOIN s USING (issue, entry) WHERE f.entry > 0""")
 def anchors_with_floor(spark: SparkSession, d: str) -> DataFrame:
     """Spanish documents are pages that are a picture only: they aren't among the elements. Articles with an odd id end on the page after their first."""
-    docs = issues(spark, d)
+    docs = _numbered(spark, d)
     last = F.max("entry").over(Window.partitionBy("issue"))
     articles = docs.select("issue", "entry", F.col("entry").alias("start_page"), F.least(F.col("entry") + F.col("doc_id") % 2, last).alias("end_page"))
-    return S.anchored_articles(elements_of(docs.filter("lang <> 'es'")), articles, docs.select("issue", F.col("entry").alias("page"), "text"))
+    elements = _lines(spark, d).filter("lang <> 'es'").select("issue", F.struct("doc_id", "n").alias("position"), "text")
+    probes = table(spark, d, "documents").select("doc_id", S.page_probes(F.col("text")).alias("probes"))
+    pages = docs.join(probes, "doc_id").select("issue", F.col("entry").alias("page"), "probes")
+    return S.anchored_articles(elements, articles, pages)

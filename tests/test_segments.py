@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.operators import segments as S
 
@@ -105,7 +106,7 @@ def test_anchors_equal_a_search_in_the_joined_text(spark, seed):
         articles += [(issue, e, e + 1 - e % 2, e + 1 + e % 3) for e in range(18)]
     a = spark.createDataFrame(elements, "issue string, position long, text string").repartition(5)
     b = spark.createDataFrame(articles, "issue string, entry long, start_page long, end_page long")
-    c = spark.createDataFrame(pages, "issue string, page long, text string")
+    c = spark.createDataFrame(pages, "issue string, page long, text string").select("issue", "page", S.page_probes(F.col("text")).alias("probes"))
     got = S.anchored_articles(a, b, c).collect()
     for issue in ("i", "j"):
         want = plain_anchors([r[2] for r in elements if r[0] == issue], [r[1:] for r in articles if r[0] == issue], {r[1]: r[2] for r in pages if r[0] == issue})
