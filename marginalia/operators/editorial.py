@@ -1,6 +1,6 @@
 """Editorial commands as rewrites of whole tables: every operator returns the tables as they are after the commands.
 
-Commands come in batches, one row a command. A row that a rule refuses gets a code and changes nothing.
+Commands come in batches, one row a command; what a rule refuses changes nothing. Only checks, guards and one-time codes say why, by a code; so do the commands of ``operators.versions``.
 """
 
 from __future__ import annotations
@@ -83,19 +83,22 @@ def with_media_urls(blocks: DataFrame, media: DataFrame) -> DataFrame:
     return found.withColumn("content", F.when(F.coalesce(F.col("_media"), F.lit("")) != "", F.map_concat(rest, F.create_map(F.lit("url"), F.col("_url")))).otherwise(F.col("content"))).select(*blocks.columns)
 
 
-def promoted(articles: DataFrame, versions: DataFrame, snapshot: list[str]) -> tuple[DataFrame, DataFrame]:
+def promoted(articles: DataFrame, versions: DataFrame, snapshot: list[str], direct: bool = False) -> tuple[DataFrame, DataFrame]:
     """Articles (article, published, pending and the snapshot fields) and versions (article, version, status and those fields) after
-    the pending version of each article is published. The version it replaces is superseded; the article takes over the fields.
-    ``first_publish`` says whether readers are told. Articles without a pending version stay as they are."""
-    new = versions.select("article", F.col("version").alias("pending"), F.struct(*snapshot).alias("_new"))
-    pointers = articles.filter("pending IS NOT NULL").select("article", "published", "pending")
+    the pending version of each article is published: one that was submitted for review, or any if ``direct``. The version it replaces is superseded; the article takes over the fields.
+    ``first_publish`` says whether readers are told. Articles without such a version stay as they are, also if the one that they point to doesn't exist.
+    ``operators.versions`` has the same as a command, with refusals and a record of it."""
+    ready = F.lit(True) if direct else F.col("status") == "PENDING_REVIEW"
+    new = versions.filter(ready).select("article", F.col("version").alias("pending"), F.struct(*snapshot).alias("_new"))
+    rows = articles.join(new, ["article", "pending"], "left").withColumn("_go", F.col("_new").isNotNull())
+    pointers = rows.filter("_go").select("article", F.col("published").alias("_published"), F.col("pending").alias("_pending"))
     marked = versions.join(pointers, "article", "left")
-    status = F.when(F.col("version") == F.col("pending"), "PUBLISHED").when(F.col("pending").isNotNull() & (F.col("version") == F.col("published")), "SUPERSEDED").otherwise(F.col("status"))
+    status = F.when(F.col("version") == F.col("_pending"), "PUBLISHED").when(F.col("version") == F.col("_published"), "SUPERSEDED").otherwise(F.col("status"))
     marked = marked.withColumn("status", status).select(*versions.columns)
-    out = articles.join(new, ["article", "pending"], "left").withColumn("first_publish", F.col("pending").isNotNull() & F.col("published").isNull())
-    out = out.withColumns({c: F.when(F.col("pending").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in snapshot})
-    out = out.withColumn("published", F.coalesce("pending", "published")).withColumn("pending", F.lit(None).cast(articles.schema["pending"].dataType))
-    return out.select(*articles.columns, "first_publish"), marked
+    rows = rows.withColumn("first_publish", F.col("_go") & F.col("published").isNull())
+    rows = rows.withColumns({c: F.when(F.col("_go"), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in snapshot})
+    rows = rows.withColumn("published", F.when(F.col("_go"), F.col("pending")).otherwise(F.col("published"))).withColumn("pending", F.when(~F.col("_go"), F.col("pending")))
+    return rows.select(*articles.columns, "first_publish"), marked
 
 
 def reconciled(placements: DataFrame, requests: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def block_media_urls(spark: SparkSession, d: str) -> DataFrame:
 
 
 _VERSIONS_SQL = """
-    WITH a AS (SELECT conv_id AS article, CASE WHEN conv_id % 2 = 0 THEN max(turn) FILTER (role = 'assistant') END AS published, CASE WHEN conv_id % 3 > 0 THEN max(turn) END AS newest FROM conversations GROUP BY conv_id),
+    WITH a AS (SELECT conv_id AS article, CASE WHEN conv_id % 2 = 0 THEN max(turn) FILTER (role = 'assistant') END AS published, CASE WHEN conv_id % 3 > 0 THEN max(turn) + CASE WHEN conv_id % 17 = 0 THEN 100 ELSE 0 END END AS newest FROM conversations GROUP BY conv_id),
     p AS (SELECT article, published, CASE WHEN newest IS DISTINCT FROM published THEN newest END AS pending FROM a)
 """
 
@@ -98,24 +98,24 @@ _VERSIONS_SQL = """
 def _versioned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, d, "conversations")
     pointers = rows.groupBy(F.col("conv_id").alias("article")).agg(F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("_p"), F.max("turn").alias("_n"))
-    pointers = pointers.select("article", F.when(F.col("article") % 2 == 0, F.col("_p")).alias("published"), F.when(F.col("article") % 3 > 0, F.col("_n")).alias("_n"))
+    pointers = pointers.select("article", F.when(F.col("article") % 2 == 0, F.col("_p")).alias("published"), F.when(F.col("article") % 3 > 0, F.col("_n") + F.when(F.col("article") % 17 == 0, 100).otherwise(0)).alias("_n"))
     articles = pointers.select("article", "published", F.when(~F.col("_n").eqNullSafe(F.col("published")), F.col("_n")).alias("pending"), F.lit("old").alias("title"), F.lit(0).alias("chars"))
     versions = rows.select(F.col("conv_id").alias("article"), F.col("turn").alias("version"), F.col("role").alias("title"), F.length("text").alias("chars"))
-    status = F.when(F.col("version") == F.col("published"), "PUBLISHED").when(F.col("version") == F.col("pending"), "PENDING_REVIEW").otherwise("DRAFT")
+    status = F.when(F.col("version") == F.col("published"), "PUBLISHED").when((F.col("version") == F.col("pending")) & (F.col("article") % 5 > 0), "PENDING_REVIEW").otherwise("DRAFT")
     versions = versions.join(articles.select("article", "published", "pending"), "article").withColumn("status", status).drop("published", "pending")
     return articles, versions
 
 
 @query(_VERSIONS_SQL + """
-    SELECT article, coalesce(pending, published) AS published, CASE WHEN pending IS NOT NULL THEN role ELSE 'old' END AS title, CASE WHEN pending IS NOT NULL THEN length(text) ELSE 0 END AS chars, pending IS NOT NULL AND published IS NULL AS first_publish
-    FROM p LEFT JOIN conversations ON conv_id = article AND turn = pending""")
+    SELECT article, CASE WHEN turn IS NULL THEN published ELSE pending END AS published, CASE WHEN turn IS NULL THEN pending END AS pending, coalesce(role, 'old') AS title, coalesce(length(text), 0) AS chars, turn IS NOT NULL AND published IS NULL AS first_publish
+    FROM p LEFT JOIN conversations ON conv_id = article AND turn = pending AND conv_id % 5 > 0""")
 def approved_articles(spark: SparkSession, d: str) -> DataFrame:
     out, _ = E.promoted(*_versioned(spark, d), ["title", "chars"])
-    return out.select("article", "published", "title", F.col("chars").cast("long"), "first_publish")
+    return out.select("article", "published", "pending", "title", F.col("chars").cast("long"), "first_publish")
 
 
 @query(_VERSIONS_SQL + """
-    SELECT article, turn AS version, CASE WHEN turn = pending THEN 'PUBLISHED' WHEN turn = published AND pending IS NOT NULL THEN 'SUPERSEDED' WHEN turn = published THEN 'PUBLISHED' ELSE 'DRAFT' END AS status
+    SELECT article, turn AS version, CASE WHEN turn = pending AND conv_id % 5 > 0 THEN 'PUBLISHED' WHEN turn = published AND EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = article AND c.turn = pending AND c.conv_id % 5 > 0) THEN 'SUPERSEDED' WHEN turn = published THEN 'PUBLISHED' ELSE 'DRAFT' END AS status
     FROM conversations JOIN p ON conv_id = article""")
 def approved_versions(spark: SparkSession, d: str) -> DataFrame:
     _, out = E.promoted(*_versioned(spark, d), ["title", "chars"])
