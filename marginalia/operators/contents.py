@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.sources.scratch import written
 
 #: Section labels as contents pages print them, and what they are called.
 SECTIONS = {
@@ -46,10 +47,20 @@ def _trimmed_lines(text: Column) -> Column:
     return F.transform(T.lines_of(text), T.tidy_ends)
 
 
+def page_facts(pages: DataFrame) -> DataFrame:
+    """issue, page, text (of opening pages only), offset: how far the page number that stands among the first and last two lines is ahead of the page, if one does.
+    All that contents, covers and manifests need of pages: whole texts are read once, and only opening pages are kept."""
+    lines = F.filter(T.lines_of(F.col("text")), lambda x: T.tidy_ends(x) != "")
+    margin = F.concat(F.slice(lines, 1, 2), F.reverse(F.slice(F.reverse(lines), 1, 2)))
+    folio = F.get(F.filter(margin, T.is_folio), F.lit(0))
+    head = F.when(F.col("page") <= CONTENTS_WITHIN + 1, F.coalesce("text", F.lit("")))
+    return pages.select("issue", "page", head.alias("text"), (T.tidy_ends(folio).cast("long") - F.col("page")).alias("offset"))
+
+
 def contents_pages(pages: DataFrame) -> DataFrame:
     """issue, pages (how many), contents_page, had_marker: the first of the opening pages with the heading, else the first with three numbered lines, else null."""
     sizes = pages.groupBy("issue").agg(F.count(F.lit(1)).alias("pages"))
-    head = pages.filter(F.col("page") <= CONTENTS_WITHIN).join(sizes, "issue")
+    head = pages.filter(F.col("page") <= CONTENTS_WITHIN).select("issue", "page", "text").join(sizes, "issue")
     anchors = F.size(F.filter(_trimmed_lines(F.col("text")), lambda x: numbered_line(x, F.col("pages")).isNotNull()))
     marked = F.min(F.when(F.coalesce("text", F.lit("")).rlike(MARKER), F.col("page"))).alias("_marked")
     found = head.groupBy("issue").agg(marked, F.min(F.when(anchors >= LEAST_ANCHORS, F.col("page"))).alias("_listed"))
@@ -63,7 +74,8 @@ def contents_entries(pages: DataFrame, about: str) -> DataFrame:
     A line that is a section's label opens that section; an entry that is one is of it. Blank lines and lines with a star are passed over.
     """
     where = contents_pages(pages).filter("contents_page IS NOT NULL")
-    region = pages.join(where.withColumnRenamed("pages", "_pages"), "issue").filter(F.col("page") - F.col("contents_page") <= 1).filter(F.col("page") >= F.col("contents_page"))
+    head = pages.filter(F.col("page") <= CONTENTS_WITHIN + 1)
+    region = head.join(where.withColumnRenamed("pages", "_pages"), "issue").filter(F.col("page") - F.col("contents_page") <= 1).filter(F.col("page") >= F.col("contents_page"))
     whole = region.groupBy("issue", "_pages", "had_marker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))), lambda p: p.text), "\n").alias("_text"))
     body = F.when(F.col("had_marker"), F.array_join(F.slice(F.split("_text", MARKER), F.lit(2), F.size(F.split("_text", MARKER))), "\n")).otherwise(F.col("_text"))
     lines = whole.select("issue", "_pages", F.posexplode(_trimmed_lines(body)).alias("_n", "_line")).filter((F.col("_line") != "") & ~F.startswith(F.col("_line"), F.lit("*")))
@@ -80,14 +92,10 @@ def contents_entries(pages: DataFrame, about: str) -> DataFrame:
     return out.select("issue", F.row_number().over(order).cast("long").alias("entry"), "section", "title", "folio")
 
 
-def folio_offsets(pages: DataFrame) -> DataFrame:
-    """issue, offset, times, observed: how far printed page numbers are ahead of pages by most of the pages that print one among their first and last two lines;
+def folio_offsets(facts: DataFrame) -> DataFrame:
+    """issue, offset, times, observed: how far printed page numbers are ahead of pages by most of the pages that print one (``page_facts``);
     of equal votes the one that is cast first. Issues without any have none."""
-    lines = F.filter(T.lines_of(F.col("text")), lambda x: T.tidy_ends(x) != "")
-    margin = F.concat(F.slice(lines, 1, 2), F.reverse(F.slice(F.reverse(lines), 1, 2)))
-    folio = F.get(F.filter(margin, T.is_folio), F.lit(0))
-    votes = pages.select("issue", "page", (T.tidy_ends(folio).cast("long") - F.col("page")).alias("offset")).filter("offset IS NOT NULL")
-    counts = votes.groupBy("issue", "offset").agg(F.count(F.lit(1)).alias("times"), F.min("page").alias("_first"))
+    counts = facts.filter("offset IS NOT NULL").groupBy("issue", "offset").agg(F.count(F.lit(1)).alias("times"), F.min("page").alias("_first"))
     best = counts.groupBy("issue").agg(F.max_by(F.struct("offset", "times"), F.struct("times", -F.col("_first"))).alias("_best"), F.sum("times").alias("observed"))
     return best.select("issue", "_best.offset", "_best.times", "observed")
 
@@ -123,8 +131,13 @@ def cover_facts(pages: DataFrame, files: DataFrame, own: str) -> DataFrame:
 def article_ranges(pages: DataFrame, about: str) -> DataFrame:
     """issue, index (from 0), section, title, start_page, end_page, capped_from, skip: entries whose page is in the issue, in the order of pages, each up to the next one's.
     The last one's rest is cut to ``MOST_PAGES`` pages, and capped_from says where it would have ended. What only tells about the magazine is to be skipped."""
-    sizes = pages.groupBy("issue").agg(F.count(F.lit(1)).alias("_pages"))
-    rows = contents_entries(pages, about).join(sizes, "issue").join(folio_offsets(pages).select("issue", "offset"), "issue", "left")
+    facts = written(page_facts(pages), "page-facts")
+    return _ranges(facts, contents_entries(facts, about), about)
+
+
+def _ranges(facts: DataFrame, entries: DataFrame, about: str) -> DataFrame:
+    sizes = facts.groupBy("issue").agg(F.count(F.lit(1)).alias("_pages"))
+    rows = entries.join(sizes, "issue").join(folio_offsets(facts).select("issue", "offset"), "issue", "left")
     rows = rows.withColumn("start_page", F.col("folio") - F.coalesce("offset", F.lit(0))).filter(F.col("start_page").between(1, F.col("_pages")))
     order = Window.partitionBy("issue").orderBy("start_page", "entry")
     following = F.lead("start_page").over(order)
@@ -143,11 +156,13 @@ def manifests(pages: DataFrame, files: DataFrame, about: str, own: str) -> DataF
     Warnings, in this order: the cover's notes; what the cover lacks; contents without heading, without entries, or none; page numbers that are few or
     disagree; entries outside the pages; articles longer than ``MOST_PAGES``, the last one (cut there) and others that aren't skipped.
     """
-    articles, entries = article_ranges(pages, about), contents_entries(pages, about)
+    facts = written(page_facts(pages), "page-facts")
+    entries = written(contents_entries(facts, about), "contents-entries")
+    articles = _ranges(facts, entries, about)
     long = F.when(F.col("capped_from").isNotNull(), F.concat(F.lit("capped: "), "title")).when(~F.col("skip") & (F.col("end_page") - F.col("start_page") + 1 > MOST_PAGES), F.concat(F.lit("long: "), "title"))
     per = articles.withColumn("_long", long).groupBy("issue").agg(F.count(F.lit(1)).alias("articles"), F.transform(F.array_sort(F.collect_list(F.when(F.col("_long").isNotNull(), F.struct("index", "_long")))), lambda x: x["_long"]).alias("_longs"))
     listed = entries.groupBy("issue").agg(F.count(F.lit(1)).alias("_entries"))
-    rows = cover_facts(pages, files, own).join(contents_pages(pages), "issue", "left").join(folio_offsets(pages), "issue", "left").join(per, "issue", "left").join(listed, "issue", "left")
+    rows = cover_facts(facts, files, own).join(contents_pages(facts), "issue", "left").join(folio_offsets(facts), "issue", "left").join(per, "issue", "left").join(listed, "issue", "left")
     rows = rows.fillna(0, ["articles", "_entries", "observed", "offset", "pages"]).withColumn("had_marker", F.coalesce("had_marker", F.lit(False)))
     share = F.col("times") / F.col("observed")
     warnings = F.array_compact(F.concat("notes", F.array(

@@ -33,9 +33,9 @@ def test_contents_without_heading_need_three_numbered_lines_in_the_first_pages(s
 
 def test_page_numbers_vote_and_the_first_cast_wins(spark):
     texts = ["x", "5\nx", "x\n\n 6 \n", "1\nx\ny\nz\n7", "x\n2\ny\nz\n99\nu\nv", None]
-    got = C.folio_offsets(pages_of(spark, *texts)).first()
+    got = C.folio_offsets(C.page_facts(pages_of(spark, *texts))).first()
     assert tuple(got)[1:] == (3, 2, 4)  # pages 2 and 3 say 3; 4 and 5 say -3
-    assert C.folio_offsets(pages_of(spark, "x")).count() == 0
+    assert C.folio_offsets(C.page_facts(pages_of(spark, "x"))).count() == 0
 
 
 def test_covers_give_way_to_names_and_folders(spark):

@@ -78,3 +78,12 @@ def test_first_reads_over_a_stream(spark, tmp_path):
     rows = [("g", k % 4, f"2024-01-01 00:{k:02d}:00") for k in range(30)]
     got = run_stream(spark, tmp_path, "reads", rows, "guest string, article long, at string", lambda s: Z.first_reads_stream(s.selectExpr("guest", "article", "cast(at as timestamp) as at")))
     assert sorted(r.article for r in got.collect()) == [0, 1, 2, 3]
+
+
+def test_fan_out_in_slices_gives_the_same_mails(spark):
+    users = spark.createDataFrame([(k, k % 5 > 0, k % 3 > 0) for k in range(40)], "user_id long, active boolean, wants_mail boolean")
+    published = spark.createDataFrame([(k, k % 7) for k in range(30)], "article long, author long")
+    want = sorted((a, u) for a in range(30) for u in range(40) if u % 5 and u % 3 and u != a % 7)
+    for size in (7, 1000):
+        assert sorted(map(tuple, Z.fan_out(published, users, slice_rows=size).collect())) == want
+    assert Z.fan_out(published.limit(0), users).count() == 0
