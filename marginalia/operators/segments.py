@@ -49,28 +49,29 @@ def _title_pairs(titles: DataFrame, headings: DataFrame) -> DataFrame:
         own = rows.select("issue", F.array_join("words", " ").alias(name), "words").filter(F.size("words") > 0).distinct()
         words = own.select("issue", name, F.explode("words").alias("word")).join(often, ["issue", "word"], "left")
         order = F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(2**62)).alias("often"), "word")))  # words that no heading has come last
-        return words.groupBy("issue", name).agg(order.alias(f"{name}_words"))
+        return written(words.groupBy("issue", name).agg(order.alias("words")).withColumn("id", F.monotonically_increasing_id()), f"{name}-sets")
 
-    a, b = written(sets(titles, "title"), "title-sets"), written(sets(headings, "heading"), "heading-sets")
+    a, b = sets(titles, "title"), sets(headings, "heading")
+    size, most = F.size("words"), b.agg(F.max(F.size("words"))).first()[0] or 0
     low, high = CONFIDENT / (2 - CONFIDENT), (2 - CONFIDENT) / CONFIDENT  # of two sets with that score none is smaller or larger by more
-
-    def prefix(df: DataFrame, name: str, other: str) -> DataFrame:
-        words = F.col(f"{name}_words")
-        size = F.size(words)
-        sizes = F.sequence(F.greatest(F.lit(1), F.ceil(size * F.lit(low) - 1e-9)).cast("int"), F.floor(size * F.lit(high) + 1e-9).cast("int"))
-        rows = df.select("issue", name, words.word.alias(f"{name}_set"), size.alias(f"{name}_size"), F.explode(sizes).alias(f"{other}_size"))
-        need = F.ceil((F.col("title_size") + F.col("heading_size")) * F.lit(CONFIDENT / 2) - 1e-9).cast("int")
-        return rows.select("*", F.explode(F.slice(f"{name}_set", F.lit(1), F.greatest(F.lit(0), F.col(f"{name}_size") - need + 1))).alias("word"))
-
-    near = prefix(a, "title", "heading").join(prefix(b, "heading", "title"), ["issue", "word", "title_size", "heading_size"]).dropDuplicates(["issue", "title", "heading"])
-    common = F.size(F.array_intersect("title_set", "heading_set"))
-    near = near.withColumn("score", 2 * common / (F.size("title_set") + F.size("heading_set"))).filter(F.col("score") >= CONFIDENT - 1e-9)
-    short = b.filter((F.size("heading_words") <= SHORT_HEADING) & (F.get("heading_words", F.lit(0)).often == 1))
-    short = short.select("issue", "heading", F.get("heading_words", F.lit(0)).word.alias("word"), F.col("heading_words.word").alias("heading_set"))
-    inside = a.select("issue", "title", F.col("title_words.word").alias("title_set"), F.explode("title_words.word").alias("word")).join(short, ["issue", "word"])
-    inside = inside.filter(F.size(F.array_except("heading_set", "title_set")) == 0).withColumn("score", F.lit(1.0))
-    pairs = near.select("issue", "title", "heading", "score").unionByName(inside.select("issue", "title", "heading", "score"))
-    return pairs.groupBy("issue", "title", "heading").agg(F.round(F.max("score"), 9).alias("score"))
+    # a title looks among headings of each size that it may match for the first of its words that it can't do without; headings are found by all that any title can't do without
+    sizes = F.sequence(F.ceil(size * F.lit(low) - 1e-9).cast("int"), F.least(F.lit(most), F.floor(size * F.lit(high) + 1e-9).cast("int")))
+    wide = a.filter(F.ceil(size * F.lit(low) - 1e-9) <= most).select("issue", "id", F.col("words.word").alias("words"), F.explode(sizes).alias("other"))
+    need = F.ceil((F.size("words") + F.col("other")) * F.lit(CONFIDENT / 2) - 1e-9).cast("int")
+    wide = wide.select("issue", "id", "other", F.explode(F.slice("words", F.lit(1), F.greatest(F.lit(0), F.size("words") - need + 1))).alias("word"))
+    asked = wide.select(F.xxhash64("issue", "word", "other").alias("key"), F.col("id").alias("title_id"))
+    kept = F.slice("words", F.lit(1), size - F.ceil(size * F.lit(low) - 1e-9).cast("int") + 1)
+    held = b.select("issue", "id", size.alias("other"), F.explode(kept).alias("w")).select(F.xxhash64("issue", "w.word", "other").alias("key"), F.col("id").alias("heading_id"))
+    short = b.filter((size <= SHORT_HEADING) & (F.get("words", F.lit(0)).often == 1)).select(F.xxhash64("issue", F.get("words", F.lit(0)).word).alias("key"), F.col("id").alias("heading_id"))
+    any_word = a.select("issue", "id", F.explode("words").alias("w")).select(F.xxhash64("issue", "w.word").alias("key"), F.col("id").alias("title_id"))
+    pairs = asked.join(held, "key").select("title_id", "heading_id").unionByName(any_word.join(short, "key").select("title_id", "heading_id")).distinct()
+    # hashes only bring pairs together; what holds is said by the sets
+    left = a.select(F.col("id").alias("title_id"), "issue", "title", F.col("words.word").alias("t"))
+    right = b.select(F.col("id").alias("heading_id"), F.col("issue").alias("_issue"), "heading", F.col("words.word").alias("h"), (F.get("words", F.lit(0)).often == 1).alias("_rare"))
+    rows = pairs.join(left, "title_id").join(right, "heading_id").filter("issue = _issue").withColumn("_common", F.size(F.array_intersect("t", "h")))
+    whole = F.col("_rare") & (F.size("h") <= SHORT_HEADING) & (F.col("_common") == F.size("h"))
+    score = F.when(whole, 1.0).otherwise(F.round(2 * F.col("_common") / (F.size("t") + F.size("h")), 9))
+    return rows.select("issue", "title", "heading", score.alias("score")).filter(F.col("score") >= CONFIDENT)
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
