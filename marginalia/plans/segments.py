@@ -5,7 +5,7 @@ A source's documents of 200 ids in a row are an issue, each an article and a pag
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
@@ -14,29 +14,32 @@ from marginalia.plans.registry import query
 from marginalia.sources.tables import table
 
 ISSUE_IDS = 200
-ISSUE = F.concat_ws("-", F.col("source"), F.expr(f"doc_id div {ISSUE_IDS}").cast("string"))
 _STOPS = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
 
 
+def _issue() -> Column:
+    return F.concat_ws("-", "source", F.expr(f"doc_id div {ISSUE_IDS}").cast("string"))
+
+
 def _numbered(spark: SparkSession, d: str) -> DataFrame:
     """issue, entry (from 1), doc_id, lang of all documents: texts aren't moved for it."""
-    docs = table(spark, d, "documents").select(ISSUE.alias("issue"), "doc_id", "lang")
+    docs = table(spark, d, "documents").select(_issue().alias("issue"), "doc_id", "lang")
     return docs.withColumn("entry", F.row_number().over(Window.partitionBy("issue").orderBy("doc_id")).cast("long"))
 
 
 def issues(spark: SparkSession, d: str) -> DataFrame:
     """issue, entry (from 1), doc_id, lang, text."""
-    docs = table(spark, d, "documents").select(ISSUE.alias("issue"), "doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    docs = table(spark, d, "documents").select(_issue().alias("issue"), "doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     return docs.withColumn("entry", F.row_number().over(Window.partitionBy("issue").orderBy("doc_id")).cast("long"))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """issue, doc_id, lang, n, text: the lines of documents."""
     docs = table(spark, d, "documents")
-    return docs.select(ISSUE.alias("issue"), "doc_id", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "text"))
+    return docs.select(_issue().alias("issue"), "doc_id", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "text"))
 
 
-def _kind():
+def _kind() -> Column:
     return F.when(T.word_count(F.col("text")).between(1, 12), "heading").otherwise("paragraph")
 
 
