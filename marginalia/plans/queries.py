@@ -17,7 +17,7 @@ from marginalia.operators import pages as P
 from marginalia.operators import relational as R
 from marginalia.operators import search as S
 from marginalia.operators import workflow as W
-from marginalia.plans import contents, editorial, issues, search, segments, sessions, versions  # noqa: F401 (register their queries)
+from marginalia.plans import contents, editorial, issues, migration, search, segments, sessions, versions  # noqa: F401 (register their queries)
 from marginalia.plans.registry import oracle_sql, queries, query  # noqa: F401
 from marginalia.sources.tables import table
 from marginalia.streaming import stateful as Z
