@@ -100,9 +100,13 @@ def furniture_key(line: Column) -> Column:
     return F.lower(tidy(line))
 
 
+#: The roman numbers that are read.
+ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
+
+
 def small_number(c: Column) -> Column:
     """An arabic number, or a roman one from i to x; else null."""
-    roman = F.create_map(*[F.lit(x) for k, v in enumerate("i ii iii iv v vi vii viii ix x".split(), 1) for x in (v, k)])
+    roman = F.create_map(*[F.lit(x) for pair in ROMAN.items() for x in pair])
     return F.coalesce(F.trim(c).try_cast("int"), F.try_element_at(roman, F.lower(F.trim(c))))
 
 

@@ -77,14 +77,30 @@ def minutes_of_pages(pages: Column) -> Column:
     return F.greatest(F.lit(1), F.round(pages * 2)).cast("long")
 
 
-def quality_warnings(docs: DataFrame, blocks: DataFrame, key: str, least_words: int = 60) -> DataFrame:
-    """Per document its blocks, words, minutes and list of warnings: no blocks, few words, a paragraph that repeats the one before it."""
+def text_words() -> Column:
+    """Words of a block that count as prose: its text, its expression, and the items of a list that are texts."""
+    value = F.try_parse_json(F.col("content"))
+    items = F.try_variant_get(value, "$.items", "array<variant>")
+    texts = F.array_compact(F.transform(items, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))))
+    field = lambda name: F.when(F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant")) == "STRING", F.try_variant_get(value, f"$.{name}", "string"))
+    return word_count(F.concat_ws(" ", field("text"), field("expression"), F.array_join(texts, " ")))
+
+
+def quality_warnings(docs: DataFrame, blocks: DataFrame, key: str, house: str, least_words: int = 60) -> DataFrame:
+    """Per document (key, category, summary, author) its blocks, words of prose, and what makes it not worth publishing, in this order: no blocks, few words (if it has
+    blocks), no category, no summary, no byline (the author is the publication), a paragraph with the text of the paragraph before it."""
     w = Window.partitionBy(key).orderBy("position")
-    seen = blocks.withColumn("words", block_words()).withColumn("again", (F.col("block_type") == "paragraph") & F.lag("block_type").over(w).eqNullSafe("paragraph") & (F.col("content") == F.lag("content").over(w)))
-    sums = seen.groupBy(key).agg(F.count(F.lit(1)).alias("blocks"), F.sum("words").alias("words"), F.max(F.coalesce("again", F.lit(False))).alias("again"))
-    out = docs.select(key).join(sums, key, "left").withColumns({"blocks": F.coalesce("blocks", F.lit(0)), "words": F.coalesce("words", F.lit(0)), "again": F.coalesce("again", F.lit(False))})
-    warnings = F.array_compact(F.array(F.when(F.col("blocks") == 0, F.lit("no blocks")), F.when(F.col("words") < least_words, F.lit("few words")), F.when(F.col("again"), F.lit("repeated paragraph"))))
-    return out.select(key, "blocks", "words", reading_minutes(F.col("words")).alias("minutes"), warnings.alias("warnings"))
+    text = F.get_json_object("content", "$.text")
+    paragraph = F.when(F.col("block_type") == "paragraph", F.struct(text.alias("text")))
+    seen = blocks.withColumns({"_words": text_words(), "_own": paragraph}).withColumn("_again", F.col("_own").isNotNull() & F.coalesce(F.lag("_own").over(w) == F.col("_own"), F.lit(False)))
+    sums = seen.groupBy(key).agg(F.count(F.lit(1)).alias("blocks"), F.sum("_words").alias("words"), F.max("_again").alias("_again"))
+    out = docs.join(sums, key, "left").withColumns({"blocks": F.coalesce("blocks", F.lit(0)), "words": F.coalesce("words", F.lit(0)), "_again": F.coalesce("_again", F.lit(False))})
+    lacks = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    rules = [
+        (F.col("blocks") == 0, "no blocks"), ((F.col("blocks") > 0) & (F.col("words") < least_words), "few words"), (lacks("category"), "no category"), (lacks("summary"), "no summary"),
+        (F.col("author").eqNullSafe(house), "no byline"), (F.col("_again"), "repeated paragraph"),
+    ]
+    return out.select(key, "blocks", "words", F.array_compact(F.array(*(F.when(test, F.lit(said)) for test, said in rules))).alias("warnings"))
 
 
 def html_to_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -14,7 +14,9 @@ FURNITURE = (r"^volume\s+[ivx0-9]", r"^issue\b", r"^contents?$", r"^news vistas"
 DANGLING = "and|or|but|the|of|in|to|for|with|from|at|on|by|is|are|a|an|that|which"
 INNER_STRAPS = r"\S\s+(cover (story|article)|feature (article|story)|consumers? desk|tutorial|editorial)\b"
 #: Words that a headline in mixed case keeps small.
-SMALL_WORDS = "a an and as at but by for from in into nor of on onto or over the to up via with".split()
+SMALL_WORDS = [
+    "a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "into", "nor", "of", "on", "onto", "or", "over", "the", "to", "up", "via", "with",
+]
 #: What opens a byline, words that no name has, the form of a byline in running text, the label of a synopsis.
 BYLINE_PREFIX = r"^[-‐–—]\s*|^(by|mr|mrs|ms|dr|prof|er)\.?\s+"
 NOT_A_NAME = r"\b(the|of|and|for|in|on|to|a|an|with|from|through|its|is|are|be|by|at|as|our|new|power|energy|electricity|solar|grid|india|indian|these|this|that)\b"

@@ -213,7 +213,7 @@ def glued_words(docs: DataFrame, key: str, text: str, least_letters: int = 8, le
 def anchors(docs: DataFrame, probes: DataFrame, key: str, text: str, probe_key: str, probe_text: str, probe_words: int = 9) -> DataFrame:
     """key, probe key, position: where the first words of a probe stand in a document, as the number of its first word.
 
-    Both sides are cut into runs of so many words; the join is on a run's hash and then on the run, so neither side is broadcast.
+    Both sides are cut into runs of so many words and joined on the run's text, so neither side need be broadcast; ``segments.anchored_articles`` moves a text once instead.
     """
     def normal(c: str) -> Column:
         return F.filter(F.split(T.normal_key(F.coalesce(c, F.lit(""))), " "), lambda w: w != "")

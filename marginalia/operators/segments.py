@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from marginalia.sources.scratch import written
 
 #: Words that are evidence of nothing in a title.
-STOP_WORDS = "the a an of on in to for and or at by is it as with from its this that be are".split()
+STOP_WORDS = [
+    "the", "a", "an", "of", "on", "in", "to", "for", "and", "or", "at", "by", "is", "it", "as", "with", "from", "its", "this", "that", "be", "are",
+]
 CONFIDENT = 0.6
 SHORT_HEADING = 3
 PROBE_WORDS, PROBE_PAGES, MOST_PROBES = 9, 2, 14

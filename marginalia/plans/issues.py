@@ -53,7 +53,7 @@ def headline_case(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("title_id"), I.title_case(title, ACRONYMS).alias("title"))
 
 
-_LINES = ("By Rathin Basu, Chairman of a Board. Retired", "-Mr Arvind S Bakshi", "THE WHOLE STORY", "Anil Kumar,  Director", "Who Is Anil Kumar?", "Power for Anil", "Prof. Jo Van Der Berg.", "a small line", "", "Anil")
+_LINES = ("By Tobin Marsh, Keeper of a Mill. Retired", "-Mr Lionel K Ferro", "THE WHOLE STORY", "Anil Kumar,  Director", "Who Is Anil Kumar?", "Power for Anil", "Prof. Jo Van Der Berg.", "a small line", "", "Anil")
 _LINE_SQL = f"([{_QUOTED(_LINES)}][1 + s_suppkey % 10] || CASE WHEN s_nationkey % 3 = 0 THEN ' ' || s_name ELSE '' END)"
 _NAME_SQL = f"trim(regexp_replace(regexp_split_to_array(regexp_replace(x, '{I.BYLINE_PREFIX}', '', 'i'), '\\s*[,.]\\s+')[1], '[.,;:]+$', ''))"
 

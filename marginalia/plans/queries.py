@@ -521,17 +521,23 @@ def block_validation(spark: SparkSession, d: str) -> DataFrame:
     return _as_blocks(spark, d).select("conv_id", "position", F.array_join(B.block_errors(), ";").alias("errors"))
 
 
-@query(_BLOCKS_SQL + """
-    , c AS (SELECT conv_id, t, k, x, CASE WHEN k IN (0, 1, 2, 6, 10) THEN w WHEN k = 3 THEN 2 * w WHEN k = 4 THEN w + CASE WHEN t % 2 = 0 THEN 0 ELSE w END
-    WHEN k = 5 THEN w + 1 + CASE WHEN t % 4 = 0 THEN 0 ELSE 1 END + CASE WHEN t % 7 = 0 THEN 0 WHEN t % 5 = 0 THEN w ELSE w + 3 END
-    WHEN k = 7 THEN CASE WHEN t % 5 = 0 THEN 0 ELSE w + CASE WHEN t % 3 = 0 THEN 0 ELSE 1 END END WHEN k = 8 THEN w + CASE WHEN t % 3 = 0 THEN 0 ELSE w END ELSE CASE WHEN t % 4 = 0 THEN 0 ELSE w END END AS n FROM b),
-    r AS (SELECT *, coalesce(k = 1 AND lag(k) OVER p = 1 AND x = lag(x) OVER p, false) AS again FROM c WINDOW p AS (PARTITION BY conv_id ORDER BY t))
-    SELECT conv_id, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS words, CAST(greatest(1, ceil(sum(n) / 200.0)) AS BIGINT) AS minutes,
-    array_to_string(list_filter([CASE WHEN sum(n) < 60 THEN 'few words' END, CASE WHEN bool_or(again) THEN 'repeated paragraph' END], lambda e: e IS NOT NULL), ';') AS warnings FROM r GROUP BY conv_id""")
+@query("""
+    WITH b AS (SELECT conv_id, turn, turn % 4 AS k, CASE WHEN conv_id % 2 = 0 THEN 'same words' ELSE text END AS p, len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS w FROM conversations WHERE conv_id % 10 <> 7),
+    s AS (SELECT conv_id, count(*) AS blocks, sum(CASE k WHEN 1 THEN 1 WHEN 2 THEN 1 + w ELSE CASE WHEN conv_id % 2 = 0 THEN 2 ELSE w END END)::BIGINT AS words, bool_or(again) AS again
+    FROM (SELECT *, coalesce(k IN (0, 3) AND lag(k) OVER o IN (0, 3) AND p = lag(p) OVER o, false) AS again FROM b WINDOW o AS (PARTITION BY conv_id ORDER BY turn)) GROUP BY conv_id)
+    SELECT d.conv_id, coalesce(blocks, 0) AS blocks, coalesce(words, 0) AS words, array_to_string(list_filter([CASE WHEN blocks IS NULL THEN 'no blocks' WHEN words < 60 THEN 'few words' END, CASE WHEN d.conv_id % 4 = 0 THEN 'no category' END, CASE WHEN d.conv_id % 3 < 2 THEN 'no summary' END,
+    CASE WHEN d.conv_id % 5 = 0 THEN 'no byline' END, CASE WHEN again THEN 'repeated paragraph' END], lambda e: e IS NOT NULL), ';') AS warnings FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN s USING (conv_id)""")
 def quality_warnings(spark: SparkSession, d: str) -> DataFrame:
-    blocks = _as_blocks(spark, d)
-    out = B.quality_warnings(blocks.select("conv_id").distinct(), blocks, "conv_id")
-    return out.select("conv_id", "blocks", "words", "minutes", F.array_join("warnings", ";").alias("warnings"))
+    """Turns are blocks: formulas whose note is no prose, lists with an item that is no text, and paragraphs; one document in ten has none."""
+    rows, n, k = table(spark, d, "conversations"), F.col("conv_id"), F.col("turn") % 4
+    docs = rows.select("conv_id").distinct().withColumns({"category": F.when(n % 4 > 0, n), "summary": F.when(n % 3 == 0, "").when(n % 3 == 2, "s"), "author": F.when(n % 5 == 0, "The Review").otherwise("Ada Moe")})
+    formula = F.to_json(F.struct(F.col("role").alias("expression"), F.col("text").alias("note")))
+    items = F.to_json(F.array("role", "text"))
+    listed = F.concat(F.lit('{"items":'), F.substring(items, F.lit(1), F.length(items) - 1), F.lit(',{"label":"a b"}]}'))
+    said = F.to_json(F.struct(F.when(n % 2 == 0, "same words").otherwise(F.col("text")).alias("text")))
+    kind = F.when(k == 1, "formula").when(k == 2, "list").otherwise("paragraph")
+    blocks = rows.filter("conv_id % 10 <> 7").select("conv_id", F.col("turn").alias("position"), kind.alias("block_type"), F.when(k == 1, formula).when(k == 2, listed).otherwise(said).alias("content"))
+    return B.quality_warnings(docs, blocks, "conv_id", "The Review").select("conv_id", "blocks", "words", F.array_join("warnings", ";").alias("warnings"))
 
 
 @query()
