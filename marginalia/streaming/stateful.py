@@ -25,14 +25,17 @@ def drained(claimed: DataFrame, sent: Column, error: Column, has_parent: Column,
     return claimed.withColumn("status", status).withColumn("error", F.when(~sent | ~has_parent, F.substring(F.when(~has_parent, F.lit("no notification")).otherwise(error), 1, ERROR_CHARS)))
 
 
-def fan_out(published: DataFrame, users: DataFrame, author: str = "author", slice_rows: int = 50_000) -> DataFrame:
+def fan_out(published: DataFrame, users: DataFrame, author: str = "author", slice_rows: int = 50_000, task_mails: int = 20_000_000) -> DataFrame:
     """article, user_id: each first publication for every active user who wants mail, but its author.
 
-    One row for each mail is what is asked for. Publications are counted first and broadcast in slices of about ``slice_rows``, so what a task holds is bounded however many there are;
-    users are read in their own partitions, once a slice, and no user is moved.
+    One row for each mail is what is asked for, so the rows are the product of both tables. Publications are counted first and broadcast in slices of about ``slice_rows``, so what a task holds is
+    bounded however many there are; the ids of users are dealt out, once a slice, so that a task makes about ``task_mails`` mails, whatever files the users come in.
     """
     wanted, own = users.filter("active AND wants_mail").select("user_id"), published.select("article", author)
-    slices = -(-own.count() // slice_rows)
+    articles = own.count()
+    slices = -(-articles // slice_rows)
+    mails = wanted.count() * -(-articles // max(1, slices))
+    wanted = wanted.repartition(max(1, -(-mails // task_mails)))
     parts = [own.filter(F.pmod(F.xxhash64("article"), F.lit(slices)) == k) if slices > 1 else own for k in range(max(1, slices))]
     out = [wanted.join(F.broadcast(part), F.col("user_id") != F.col(author)).select("article", "user_id") for part in parts]
     return reduce(DataFrame.unionByName, out)

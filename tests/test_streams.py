@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.streaming import sessions as S
 from marginalia.streaming import stateful as Z
@@ -87,3 +88,11 @@ def test_fan_out_in_slices_gives_the_same_mails(spark):
     for size in (7, 1000):
         assert sorted(map(tuple, Z.fan_out(published, users, slice_rows=size).collect())) == want
     assert Z.fan_out(published.limit(0), users).count() == 0
+
+
+def test_fan_out_deals_the_users_of_one_file_to_tasks(spark):
+    users = spark.range(400).selectExpr("id AS user_id", "true AS active", "true AS wants_mail").coalesce(1)
+    published = spark.createDataFrame([(k, -1) for k in range(50)], "article long, author long")
+    mails = Z.fan_out(published, users, task_mails=2_000)
+    parts = [r["count"] for r in mails.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 20_000 == mails.distinct().count() and max(parts) <= 4_000
