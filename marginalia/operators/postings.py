@@ -13,7 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.stems import STOP_WORDS, stem, stems
+from marginalia.functions import stems
+from marginalia.functions.stems import STOP_WORDS, stem
 
 #: Weights of the classes A to D; the most places of a term in a document that the rank looks at, and the last place; how nearness counts.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
@@ -29,8 +30,8 @@ def words_of(text: Column) -> Column:
 def index_of(docs: DataFrame, key: str, fields: list[tuple[Column, str]], stemmed: bool = True) -> DataFrame:
     """term, key, places (array of place, weight, by place): of the fields (text, class A to D) in this order, whose places go on from each other's last indexed one.
 
-    At scale: words are counted in their documents first; only distinct words are stemmed, and a word that occurs in many documents meets its stem by a join that
-    adaptive execution splits or broadcasts by size. The index is partitioned by nothing: write it sorted or bucketed by term, and a search reads its terms only.
+    At scale: words meet their stems in the tasks that read the texts, so each place is moved once, by term and key. A search on an index that isn't written moves the places of its terms only:
+    its filter goes below the grouping. The index is partitioned by nothing: write it sorted or bucketed by term, and a search reads its terms only.
     """
     kept = lambda w: ~w.isin(*STOP_WORDS)
     rows, before, each = docs, F.lit(0), []
@@ -38,11 +39,10 @@ def index_of(docs: DataFrame, key: str, fields: list[tuple[Column, str]], stemme
         rows = rows.withColumn(f"_w{k}", F.filter(F.transform(words_of(text), lambda w, i: F.struct((i + 1).alias("place"), w.alias("word"))), lambda x: kept(x.word)))
         each.append(_shifted(f"_w{k}", before, weight))
         before = before + F.coalesce(F.get(f"_w{k}", F.size(f"_w{k}") - 1).place, F.lit(0))
-    found = rows.select(key, F.explode(F.concat(*each)).alias("x")).groupBy(F.col("x.word").alias("word"), key).agg(F.collect_list(F.struct("x.place", "x.weight")).alias("places"))
-    if not stemmed:
-        return found.select(F.col("word").alias("term"), key, F.array_sort("places").alias("places"))
-    terms = stems(found.select("word").distinct())
-    return found.join(terms, "word").groupBy("term", key).agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+    found = rows.select(key, F.explode(F.concat(*each)).alias("x")).select(F.col("x.word").alias("term"), key, "x.place", "x.weight")
+    if stemmed:
+        found = stems.stemmed(found.withColumnRenamed("term", "_word"), "_word").drop("_word")
+    return found.groupBy("term", key).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("places"))
 
 
 def _shifted(words: str, shift: Column, weight: str) -> Column:

@@ -82,3 +82,11 @@ def test_search_equals_the_plain_version(spark, text):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "id long, title string")
     assert S.found(S.index_of(df, "id", [(F.col("title"), "A")]), S.parse("x"), "id").count() == 0
+
+
+def test_a_search_moves_the_places_of_its_terms_only(spark):
+    df = spark.createDataFrame([(1, "Roofs of solar panels"), (2, "policies"), (3, None)], "id long, title string")
+    hits = S.found(S.index_of(df, "id", [(F.col("title"), "A")]), S.parse("panel or policy"), "id")
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Filter" in plan[: plan.index("MapInArrow")].split("Aggregate [")[-1]
+    assert {r.id for r in hits.collect()} == {1, 2}
