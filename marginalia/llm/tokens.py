@@ -20,6 +20,8 @@ _RUN = r"[ \t\n\r][ \t\n\r]"
 #: The memo is emptied when it has so many segments; longer ones aren't kept. So its memory is bounded.
 MEMO_SEGMENTS = 150_000
 MEMO_CHARS = 64
+#: Segments of letters are encoded as texts of so many, each with this mark behind it.
+JOINED, _STOP = 500, "."
 
 
 def _joined(arrays: list[pa.Array]) -> pa.Array:
@@ -47,6 +49,7 @@ class Encoder:
         self.folds_case, self.drops_white = a == big, a == spaced
         letters, marks = self._proven()
         self.cuts = f"([{letters}])([{marks}])|([{marks}])([{letters}])"
+        self.plain, self.stop = f"^ ?[{letters}]+$", self.tokenizer.encode(_STOP, add_special_tokens=False).ids
         self._forget()
 
     def _proven(self) -> tuple[str, str]:
@@ -67,6 +70,23 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids_of(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of segments of letters. A mark is parted from letters and from white space before them, so they are encoded as texts of many, with a mark behind each."""
+        parts = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for part, found in zip(parts, self._library([_STOP.join([*part, ""]) for part in parts]), strict=True):
+            stops = found == self.stop[0]
+            ends = np.flatnonzero(stops)
+            own = np.diff(ends, prepend=-1) - 1
+            if len(ends) == len(part) and own.all():
+                ids.append(found[~stops])
+                sizes.append(own)
+            else:  # a vocabulary in which letters make the mark or nothing
+                each = self._library(part)
+                ids += each
+                sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
     def _segments(self, texts: pa.Array) -> pa.Array:
         """A list of segments for each text."""
         cut = " " if self.drops_white else _CUT
@@ -85,11 +105,16 @@ class Encoder:
         at = pc.index_in(distinct, value_set=self.known)
         places = np.array(pc.fill_null(at, 0), dtype=np.int64)
         if at.null_count:
-            places[np.asarray(at.is_null())] = len(self.known) + np.arange(at.null_count)  # one lookup: they are appended in this order
             missing = distinct.filter(at.is_null())
-            found = self._library(missing.to_pylist())
+            plain = np.asarray(pc.match_substring_regex(missing, self.plain)) & (len(self.stop) == 1)
+            order = np.argsort(~plain, kind="stable")
+            places[np.flatnonzero(at.is_null())[order]] = len(self.known) + np.arange(at.null_count)  # one lookup: they are appended in this order
+            missing = missing.take(pa.array(order))
+            n = int(plain.sum())
+            ids, sizes = self._ids_of(missing.slice(0, n).to_pylist())
+            found = self._library(missing.slice(n).to_pylist())
             more = np.fromiter(map(len, found), np.int64, len(found))
-            self.flat, self.sizes = np.concatenate([self.flat, *found]), np.concatenate([self.sizes, more])
+            self.flat, self.sizes = np.concatenate([self.flat, ids, *found]), np.concatenate([self.sizes, sizes, more])
             self.known = _joined([self.known, missing])
         return places
 

@@ -60,6 +60,18 @@ def test_encoder_forgets_and_stays_right(monkeypatch):
         assert encoder.encode(pa.array([text]))[0].tolist() == ids_of(BYTE, text)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_new_segments_of_letters_reach_the_library_together(path, monkeypatch):
+    encoder, rnd = tokens.Encoder(path), random.Random(6)
+    text = "".join(rnd.choice([" ", "\n", ", "]) + "".join(rnd.choice("abcdeZ") for _ in range(rnd.randint(1, 9))) for _ in range(4000))
+    plain, asked = encoder._library, []
+    monkeypatch.setattr(encoder, "_library", lambda texts: asked.extend(texts) or plain(texts))
+    assert encoder.encode(pa.array([text]))[0].tolist() == ids_of(path, text)
+    assert len(asked) < 100
+    monkeypatch.setattr(encoder, "stop", ids_of(path, "a"))  # no mark of the vocabulary: segments go one by one
+    assert encoder.encode(pa.array(["unseen wordings"]))[0].tolist() == ids_of(path, "unseen wordings")
+
+
 @pytest.mark.parametrize(("chunk", "overlap"), [(64, 4), (100, 16), (1000, 64)])
 def test_resynchronised_counts(chunk, overlap):
     own, model = token_counts.Resynchroniser(SENTENCEPIECE), sentencepiece.SentencePieceProcessor(model_file=SENTENCEPIECE)
