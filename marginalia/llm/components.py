@@ -12,6 +12,13 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one smaller node that hangs on none: then that is the smallest of its component, and no step would change anything."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up > 0 AND down > 0)")
+    return odd.agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def components(edges: DataFrame, tmp: Scratch, name: str) -> DataFrame:
     """edges: a, b (long). Returns node, root: the smallest node reachable. Nodes without edges aren't returned.
 
@@ -19,11 +26,11 @@ def components(edges: DataFrame, tmp: Scratch, name: str) -> DataFrame:
     where a node is a hub. The number of rounds grows with the logarithm of the longest path.
     """
     current = tmp.save(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    before, k = None, 0
-    while True:
+    k = 0
+    while not _stars(current):
         k += 1
         # large star: each node's larger neighbours go to the smallest of all its neighbours
-        both = tmp.save(_both(current), f"{name}-{k}-both")
+        both = _both(current)
         least = tmp.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-{k}-least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = tmp.save(large, f"{name}-{k}-large")
@@ -31,9 +38,5 @@ def components(edges: DataFrame, tmp: Scratch, name: str) -> DataFrame:
         least = tmp.save(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-{k}-small")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
         current = tmp.save(small, f"{name}-{k}")
-        now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        tmp.drop(f"{name}-{k}-both", f"{name}-{k}-least", f"{name}-{k}-large", f"{name}-{k}-small", f"{name}-{k - 1}")
-        if tuple(now) == before:
-            break
-        before = tuple(now)
+        tmp.drop(f"{name}-{k}-least", f"{name}-{k}-large", f"{name}-{k}-small", f"{name}-{k - 1}")
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -1,5 +1,6 @@
 """The join against all pairs."""
 
+import os
 import random
 import re
 
@@ -123,3 +124,13 @@ def test_sketches_never_part_linked_sets():
             assert jj.may_link(jj.sketch(x), jj.sketch(y), len(x), len(y), 80)
     far = [np.array(rnd.sample(range(1 << 40), 3000), dtype=np.uint64) for _ in range(2)]
     assert not jj.may_link(*map(jj.sketch, far), 3000, 3000, 80)
+
+
+def test_components_end_once_edges_are_stars(spark):
+    tmp = Scratch(spark, "stars")
+    stars = spark.createDataFrame([(k, k % 3) for k in range(3, 40)], "a long, b long")
+    got = {r.node: r.root for r in components(stars, tmp, "s").collect()}
+    assert got == {k: k % 3 for k in range(40)}
+    assert [x for x in os.listdir(tmp.path.removeprefix("file://")) if x.startswith("s-")] == ["s-0"]
+    path = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(60, 61), (61, 60), (62, 62)], "a long, b long")
+    assert {r.node: r.root for r in components(path, tmp, "p").collect()} == {k: 0 for k in range(51)} | {60: 60, 61: 60}
