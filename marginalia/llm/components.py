@@ -1,15 +1,59 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table: tasks contract the edges that they hold, and every node jumps over its parent."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import Scratch
+from marginalia.llm.shared import Scratch, lean
+
+HELD_EDGES = 1_000_000
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the same nodes, each other node of a component with its smallest one, in the order of nodes."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        p, q = root[x], root[y]
+        apart = p != q
+        if not apart.any():
+            break
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+    hangs = root != np.arange(len(nodes))
+    return nodes[hangs], nodes[root[hangs]]
+
+
+@lean
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task, HELD_EDGES at a time, as stars."""
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))], names=["a", "b"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append([np.asarray(batch.column(k), dtype=np.int64) for k in (0, 1)])
+        size += batch.num_rows
+        if size > HELD_EDGES:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+def _dealt(edges: DataFrame) -> DataFrame:
+    """Stars of stars: a node's edges, one at most from each task before, meet in one task. A hub is the smaller end, by which nothing is dealt."""
+    contract = lambda df: df.mapInArrow(_contracted, "a long, b long")
+    return contract(contract(edges.select("a", "b")).repartition("a"))
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -22,21 +66,15 @@ def _stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame, tmp: Scratch, name: str) -> DataFrame:
     """edges: a, b (long). Returns node, root: the smallest node reachable. Nodes without edges aren't returned.
 
-    Every step is an aggregation with partial sums and a join of two written tables, which adaptive execution splits
-    where a node is a hub. The number of rounds grows with the logarithm of the longest path.
+    In a round each edge of a node goes to the least parent of the parent that it names. The least parents of a node's ancestors are a path down to a
+    node without parents; its nodes stay connected as each of them jumps over one, so the components stay as they are. It is a join of two written
+    tables, which adaptive execution splits where a node is a hub. Paths are halved at least, and what tasks hold is contracted before and after.
     """
-    current = tmp.save(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    current = tmp.save(_dealt(edges.filter("a <> b")), f"{name}-0")
     k = 0
     while not _stars(current):
         k += 1
-        # large star: each node's larger neighbours go to the smallest of all its neighbours
-        both = _both(current)
-        least = tmp.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-{k}-least")
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = tmp.save(large, f"{name}-{k}-large")
-        # small star: a node and its smaller neighbours go to the smallest of them
-        least = tmp.save(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-{k}-small")
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        current = tmp.save(small, f"{name}-{k}")
-        tmp.drop(f"{name}-{k}-least", f"{name}-{k}-large", f"{name}-{k}-small", f"{name}-{k - 1}")
+        least = tmp.save(current.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("_up")), f"{name}-{k}-least")
+        current = tmp.save(_dealt(current.join(least, "b", "left").select("a", F.coalesce("_up", "b").alias("b"))), f"{name}-{k}")
+        tmp.drop(f"{name}-{k}-least", f"{name}-{k - 1}")
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -12,7 +12,8 @@ counted so far, and a subtree is left as soon as what remains of either side can
 
 Equal sets are one node throughout. Clusters beyond ``UNIT_SETS`` are first split around a pivot: sets linked with it
 are one component; of the others, only those within twice the distance can link with one of them, and by the triangle
-inequality only with those that are far enough from the pivot. What no pivot splits is compared block by block.
+inequality only with those that are far enough from the pivot. A split that leaves most of the pairs isn't made: what no pivot
+splits is compared block by block.
 
 The order is made in two steps: elements that tasks see often, then those at which many prefixes of that order meet.
 A merely common phrase so leaves the prefixes, and what still meets in numbers are groups of copies.
@@ -555,14 +556,14 @@ def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def _links(members: DataFrame, tmp: Scratch, percent: int) -> DataFrame:
     """Links that connect each cluster's sets (root, name, sets, pivot, elements) as all its links would."""
     found: list[DataFrame] = []
-    whole = members
+    whole = members.withColumn("stuck", F.lit(False))
     for k in range(PIVOT_ROUNDS + 1):
         last = k == PIVOT_ROUNDS
         if k:
             sizes = tmp.save(whole.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.min("name").alias("pivot")), f"sizes-{k}")
             whole = whole.join(sizes, "root")
         small = F.col("sets") <= UNIT_SETS
-        units = whole.filter(F.col("sets") > 1 if last else (F.col("sets") > 1) & small)
+        units = whole.filter(F.col("sets") > 1 if last else (F.col("sets") > 1) & (small | F.col("stuck")))
         blocks = F.when(small, 1).otherwise(F.ceil(F.col("sets") * 2 / F.lit(UNIT_SETS))).cast("int")
         units = units.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
         units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -570,7 +571,7 @@ def _links(members: DataFrame, tmp: Scratch, percent: int) -> DataFrame:
         found.append(tmp.save(_in_units(units, percent), f"unit-links-{k}"))
         if last:
             break
-        large = whole.filter(~small)
+        large = whole.filter(~small & ~F.col("stuck"))
         if large.isEmpty():
             break
         pivots = large.filter(F.col("name") == F.col("pivot")).dropDuplicates(["root"]).select("root", F.col("elements").alias("center"))
@@ -581,11 +582,18 @@ def _links(members: DataFrame, tmp: Scratch, percent: int) -> DataFrame:
         reach = 2 * (1 - percent / 100) + 1e-9
         between = measured.filter(~F.col("link") & (F.col("distance") <= reach)).groupBy("root").agg(F.min("distance").alias("nearest"))
         between = tmp.save(between, f"between-{k}")
-        rest = measured.filter(~F.col("link")).select(F.xxhash64("root", F.lit(0)).alias("root"), "name", "elements")
-        side = measured.join(between, "root").filter((F.col("distance") <= reach) & (~F.col("link") | (F.col("distance") >= F.col("nearest") - (1 - percent / 100) - 1e-9)))
         # of those on this side, the links among the linked are known; the pivot's own component holds them together
-        side = side.select(F.xxhash64("root", F.lit(1)).alias("root"), "name", "elements")
-        whole = tmp.save(rest.unionByName(side), f"pool-{k + 1}")
+        inside = (F.col("distance") <= reach) & (~F.col("link") | (F.col("distance") >= F.col("nearest") - (1 - percent / 100) - 1e-9))
+        inside = F.coalesce(inside, F.lit(False))
+        # a cluster whose parts have together more than three quarters of its pairs stays whole, and is compared block by block in the next round
+        squares = F.pow(F.count_if(~F.col("link")), F.lit(2)) + F.pow(F.count_if(inside), F.lit(2))
+        pays = measured.join(between, "root", "left").groupBy("root").agg(F.first("nearest").alias("nearest"), (squares <= F.pow(F.count(F.lit(1)), F.lit(2)) * 0.75).alias("pays"))
+        parted = measured.join(tmp.save(pays, f"pays-{k}"), "root")
+        part = lambda rows, number, stuck: rows.select(number.alias("root"), "name", "elements", F.lit(stuck).alias("stuck"))
+        rest = part(parted.filter("pays AND NOT link"), F.xxhash64("root", F.lit(0)), False)
+        side = part(parted.filter(F.col("pays") & inside), F.xxhash64("root", F.lit(1)), False)
+        whole_ones = part(parted.filter("NOT pays"), F.col("root"), True)
+        whole = tmp.save(rest.unionByName(side).unionByName(whole_ones), f"pool-{k + 1}")
         tmp.drop(f"measured-{k}", f"pivots-{k}", f"pool-{k}" if k else "members")
     out = found[0]
     for more in found[1:]:

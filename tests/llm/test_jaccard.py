@@ -134,3 +134,34 @@ def test_components_end_once_edges_are_stars(spark):
     assert [x for x in os.listdir(tmp.path.removeprefix("file://")) if x.startswith("s-")] == ["s-0"]
     path = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(60, 61), (61, 60), (62, 62)], "a long, b long")
     assert {r.node: r.root for r in components(path, tmp, "p").collect()} == {k: 0 for k in range(51)} | {60: 60, 61: 60}
+
+
+def test_components_of_long_paths_take_few_rounds(spark):
+    names = random.Random(5).sample(range(1 << 40), 3000)
+    tmp = Scratch(spark, "paths")
+    path = spark.createDataFrame([*zip(names, names[1:]), (7 << 50, 7 << 50)], "a long, b long").repartition(8)
+    assert {r.node: r.root for r in components(path, tmp, "r").collect()} == dict.fromkeys(names, min(names))
+    assert max(int(x.removeprefix("r-")) for x in os.listdir(tmp.path.removeprefix("file://"))) <= 3
+
+
+@pytest.mark.parametrize("close", [False, True])
+def test_clusters_that_no_pivot_splits_are_not_split(spark, monkeypatch, close):
+    """Near copies at about the threshold: most are near the pivot without a link, so both parts would be nearly all of them. Close copies link with it."""
+    monkeypatch.setattr(jj, "UNIT_SETS", 8)
+    rnd = random.Random(6)
+    sets = {k: np.array(sorted(rnd.sample(range(100), 98 if close else 89)), dtype=np.uint64) for k in range(60)}
+    tmp, saved = Scratch(spark, "links"), []
+    save = tmp.save
+    monkeypatch.setattr(tmp, "save", lambda df, name: saved.append(name) or save(df, name))
+    rows = [(1, k, len(sets), 0, bytearray(x.tobytes())) for k, x in sets.items()]
+    links = jj._links(tmp.save(spark.createDataFrame(rows, "root long, name long, sets long, pivot long, elements binary"), "members"), tmp, 80)
+    got = {r.node: r.root for r in components(links, tmp, "c").collect()}
+    want = {k: k for k in sets}
+    for _ in sets:
+        for i in sets:
+            for j in range(i):
+                if jj.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), 80):
+                    want[i] = want[j] = min(want[i], want[j])
+    assert {k: got.get(k, k) for k in sets} == want
+    assert "unit-links-1" in saved and "pivots-1" not in saved
+    assert spark.read.parquet(tmp.folder("pool-1")).count() == (0 if close else len(sets))
