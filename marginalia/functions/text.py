@@ -38,8 +38,12 @@ def tidy(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+#: Fixed value: the characters that a pattern's \\s is with (?U).
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def tidy_ends(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def normal_key(c: Column) -> Column:
@@ -90,6 +94,14 @@ def lines_of(c: Column) -> Column:
     return F.split(F.coalesce(c, F.lit("")), "\r?\n")
 
 
+def outer_lines(c: Column) -> Column:
+    """The first two and the last two lines that aren't blank, in their order; a line may stand among both. Only the ends of a text are searched."""
+    ends = r"(?U)^\s*+[^\n]*+(?:\n\s*+[^\n]*+)?+"
+    text = F.coalesce(c, F.lit(""))
+    outer = F.concat_ws("\n", F.regexp_extract(text, ends, 0), F.reverse(F.regexp_extract(F.reverse(text), ends, 0)))
+    return F.filter(lines_of(outer), lambda x: tidy_ends(x) != "")
+
+
 def is_folio(line: Column) -> Column:
     """A line that is a page number only."""
     return line.rlike(r"(?U)^\s*[0-9]{1,3}\s*$")
@@ -111,7 +123,7 @@ def small_number(c: Column) -> Column:
 
 
 def first_line(c: Column) -> Column:
-    return F.split_part(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(1))
+    return F.substring_index(F.coalesce(c, F.lit("")), "\n", 1)
 
 
 def standfirst(text: Column, least: int = 60, lines: int = 4, floor: int = 120, cut: int = 420, early: int = 140) -> Column:

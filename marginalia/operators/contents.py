@@ -30,17 +30,22 @@ FOLDER = r"(?i)volume\s*([0-9]+|[IVX]+)"
 
 
 def section_label(line: Column, about: str) -> Column:
-    """The section that a line names, null if it is none: case, spaces, final stops and the apostrophe's form don't matter; long lines are titles."""
+    """The section that a line, without white space at its ends, names, null if it is none: case, spaces, final stops and the apostrophe's form don't matter; long
+    lines are titles. Only lines that begin like a name are looked at closely."""
     key = F.replace(F.lower(F.regexp_replace(T.tidy(line), "[.:]+$", "")), F.lit("’"), F.lit("'"))
-    names = F.create_map(*[F.lit(x) for pair in {about: ABOUT, **SECTIONS}.items() for x in pair])
-    return F.when(F.length(key) <= LABEL_CHARS, F.try_element_at(names, key))
+    sections = {about: ABOUT, **SECTIONS}
+    names = F.create_map(*[F.lit(x) for pair in sections.items() for x in pair])
+    n = 3 if all(x[:3].isascii() and x[:3].isalpha() and len(x) >= 3 for x in sections) else 0
+    begins = F.lower(F.substring(line, 1, n)).isin(*sorted({x[:n] for x in sections}))
+    return F.when(begins, F.when(F.length(key) <= LABEL_CHARS, F.try_element_at(names, key)))
 
 
 def numbered_line(line: Column, pages: Column) -> Column:
-    """text and folio of a line that ends in a page number of the issue; null for others."""
+    """text and folio of a line, without white space at its ends, that ends in a page number of the issue; null for others."""
     found = r"(?U)^(.*?)\s+([0-9]{1,3})$"
     folio = F.regexp_extract(line, found, 2).try_cast("long")
-    return F.when(folio.between(1, pages), F.struct(F.regexp_extract(line, found, 1).alias("text"), folio.alias("folio")))
+    digit = F.substring(line, -1, 1).between("0", "9")  # ends most lines' work
+    return F.when(digit, F.when(folio.between(1, pages), F.struct(F.regexp_extract(line, found, 1).alias("text"), folio.alias("folio"))))
 
 
 def _trimmed_lines(text: Column) -> Column:
@@ -50,9 +55,7 @@ def _trimmed_lines(text: Column) -> Column:
 def page_facts(pages: DataFrame) -> DataFrame:
     """issue, page, text (of opening pages only), offset: how far the page number that stands among the first and last two lines is ahead of the page, if one does.
     All that contents, covers and manifests need of pages: whole texts are read once, and only opening pages are kept."""
-    lines = F.filter(T.lines_of(F.col("text")), lambda x: T.tidy_ends(x) != "")
-    margin = F.concat(F.slice(lines, 1, 2), F.reverse(F.slice(F.reverse(lines), 1, 2)))
-    folio = F.get(F.filter(margin, T.is_folio), F.lit(0))
+    folio = F.get(F.filter(T.outer_lines(F.col("text")), T.is_folio), F.lit(0))
     head = F.when(F.col("page") <= CONTENTS_WITHIN + 1, F.coalesce("text", F.lit("")))
     return pages.select("issue", "page", head.alias("text"), (T.tidy_ends(folio).cast("long") - F.col("page")).alias("offset"))
 
@@ -77,8 +80,9 @@ def contents_entries(pages: DataFrame, about: str) -> DataFrame:
     head = pages.filter(F.col("page") <= CONTENTS_WITHIN + 1)
     region = head.join(where.withColumnRenamed("pages", "_pages"), "issue").filter(F.col("page") - F.col("contents_page") <= 1).filter(F.col("page") >= F.col("contents_page"))
     whole = region.groupBy("issue", "_pages", "had_marker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))), lambda p: p.text), "\n").alias("_text"))
-    body = F.when(F.col("had_marker"), F.array_join(F.slice(F.split("_text", MARKER), F.lit(2), F.size(F.split("_text", MARKER))), "\n")).otherwise(F.col("_text"))
-    lines = whole.select("issue", "_pages", F.posexplode(_trimmed_lines(body)).alias("_n", "_line")).filter((F.col("_line") != "") & ~F.startswith(F.col("_line"), F.lit("*")))
+    body = F.when(F.col("had_marker"), F.array_join(F.slice(F.split("_text", MARKER), 2, 1 << 30), "\n")).otherwise(F.col("_text"))
+    # not posexplode: for it Spark tests the array in a filter of its own, which reads the text again for each mention
+    lines = whole.select("issue", "_pages", F.posexplode_outer(_trimmed_lines(body)).alias("_n", "_line")).filter((F.col("_line") != "") & ~F.startswith(F.col("_line"), F.lit("*")))
     label = section_label(F.col("_line"), about)
     lines = lines.withColumn("_label", label).withColumn("_end", F.when(F.col("_label").isNull(), numbered_line(F.col("_line"), F.col("_pages"))))
     order = Window.partitionBy("issue").orderBy("_n")

@@ -35,7 +35,7 @@ _PAGES_SQL = f"""{_issues},
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """issue, page, doc_id (null for the cover), text."""
-    rows = issues(spark, d).withColumns({"title": F.split_part(T.first_line(F.col("text")), F.lit("."), F.lit(1)), "word": F.split_part("text", F.lit(" "), F.lit(1)), "printed": (F.col("entry") + 1 + PRINTED).cast("string")})
+    rows = issues(spark, d).withColumns({"title": F.substring_index(T.first_line(F.col("text")), ".", 1), "word": F.substring_index("text", " ", 1), "printed": (F.col("entry") + 1 + PRINTED).cast("string")})
     n = F.col("doc_id")
     strap = F.get(F.array(*(F.lit(s) for s in STRAPS)), (n % 5).cast("int"))
     byline = F.when(n % 4 == 0, F.concat(F.lit("-Mr "), "word")).when(n % 4 == 1, F.concat(F.lit("Director of works\nDr. "), "word"))

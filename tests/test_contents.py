@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from marginalia.functions import text as T
 from marginalia.operators import contents as C
 from marginalia.operators import frontpages as P
 from marginalia.operators import issues as I  # noqa: E741
@@ -103,3 +106,28 @@ def test_points_keep_their_rows_and_find_the_first_range(spark):
     want = sorted((k, p, min(((s, i) for k2, i, s, e in rs if k2 == k and s <= p <= e), default=(0, None))[1] or -1) for k, p in ps)
     found = R.containing(spark.createDataFrame(ps, "k long, at long"), spark.createDataFrame(rs, "k long, range_id long, start long, end long"), "k", "at").collect()
     assert sorted((r.k, r["at"], r.range_id or -1) for r in found) == want
+
+
+def test_lines_of_contents_are_made_once(spark):
+    """Spark puts a test of the array below an inner explode, which makes all lines again for each mention of them."""
+    plan = C.contents_entries(pages_of(spark, "Table of contents\na 1"), ABOUT)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" in plan and "size(" not in plan.split("Generate posexplode")[1].split("Aggregate")[0]
+
+
+def test_outer_lines_and_ends_equal_those_of_all_lines(spark):
+    rnd = random.Random(8)
+    bits = ["\n", "\n", "\r\n", "\r", " ", "\t", "\x0b", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "7", "é", "x", "😀"]
+    texts = [None, "", "x", *("".join(rnd.choice(bits) for _ in range(rnd.randint(1, 14))) for _ in range(900))]
+    lines = F.filter(T.lines_of(F.col("t")), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "") != "")
+    margin = F.concat(F.slice(lines, 1, 2), F.reverse(F.slice(F.reverse(lines), 1, 2)))
+    bare = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    first = lambda x: T.tidy_ends(F.get(F.filter(x, T.is_folio), F.lit(0)))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", first(T.outer_lines(F.col("t"))).alias("a"), first(margin).alias("b"), T.tidy_ends(F.col("t")).alias("c"), bare.alias("d")).collect()
+    assert sum(r.b is not None for r in rows) > 50
+    assert [(r.t, r.a, r.c) for r in rows] == [(r.t, r.b, r.d) for r in rows]
+
+
+def test_labels_of_magazines_with_short_names(spark):
+    rows = spark.createDataFrame([("News  and\tevents:",), ("NEWSY",), ("a b",), ("ab",), ("",), ("Über",)], "t string")
+    assert [r[0] for r in rows.select(C.section_label(F.col("t"), "a b")).collect()] == ["News and Events", None, "About", None, None, None]
+    assert [r[0] for r in rows.select(C.section_label(F.col("t"), ABOUT)).collect()] == ["News and Events", None, None, None, None, None]
